@@ -52,6 +52,8 @@ FINAL = frozenset("""
 """.split()) - frozenset(["sr"])
 #: What an initial-like single letter belongs to when it ends a phrase.
 LETTERED = frozenset("floor wing ward grade class group type typ tipo équipe team unit level block room vit hepatitis vitamin étage station bereich planta ala sala groupe gruppe".split())
+#: Words before the initials of a name.
+BEFORE_NAME = frozenset("with to by and of for from mit von an bei und avec de à et par con por y a с и от για από".split())
 #: Nouns before which a German number with a full stop is an ordinal.
 AFTER_ORDINAL = frozenset("tag tages woche monat jahr jahrhundert stock etage lebensjahr mal januar februar märz april mai juni juli august september oktober november dezember quartal halbjahr zyklus sitzung".split())
 BEFORE_ORDINAL = frozenset("am der dem den die das im vom zum des seit bis beim zur ab".split())
@@ -97,7 +99,7 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
     before = text[left:at].split()
     raw = before[-1] if before else ""
     word = raw.strip(_STRIP).lower()
-    earlier = before[-2].strip(_STRIP + ",:;").lower() if len(before) > 1 else ""
+    earlier = re.split(r"['’]", before[-2].strip(_STRIP + ",:;").lower())[-1] if len(before) > 1 else ""
     after = text[at + 1 : min(end, at + 60)].lstrip()
     following = after.split(None, 1)[0] if after else ""
     bare = following.lstrip(_STRIP).rstrip(".,;:!?…)”»\"")
@@ -112,7 +114,7 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
     features = [
         "bias", f"w={word}" if not digits else "w=#", f"len={min(len(word), 6)}", f"shape={shape}", f"kind={kind}", f"case={case}", f"n={nxt if case != 'digit' else '#'}", f"script={script(word[-1]) if word else ''}>{script(bare[0]) if bare else ''}",
         f"kind+case={kind}+{case}", f"shape+case={shape}+{case}", f"before+shape={earlier if shape in ('digit', 'single') else ''}+{shape}", f"digit+n={nxt if digits else ''}", f"up={original[:1].isupper()}+{shape}",
-        f"lettered={lettered and (earlier.rstrip('.') in LETTERED)}", f"initial={lettered and bool(re.match(r'[A-ZÀ-Þ]', bare))}", f"n1={len(bare) == 1 and following.endswith('.')}",
+        f"lettered={lettered and (earlier.rstrip('.') in LETTERED or (original in 'IVX' and before[-2:-1] != [] and before[-2][:1].islower() and earlier not in BEFORE_NAME))}", f"initial={lettered and bool(re.match(r'[A-ZÀ-Þ]', bare))}", f"n1={len(bare) == 1 and following.endswith('.')}",
     ]
     label: int | None = None
     if not following:
@@ -128,15 +130,16 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
         elif not (ordinal and case == "upper"):
             label = 1
     elif lettered:
-        if earlier.rstrip(".") in LETTERED:
+        follows_word = len(before) > 1 and before[-2][-1:].islower() and before[-2][:1].islower() and earlier not in BEFORE_NAME
+        if earlier.rstrip(".") in LETTERED or (original in "IVX" and follows_word):
             label = 1
         elif case == "upper":
             label = 0
     elif kind == "introducing":
-        label = 0 if case in ("upper", "digit", "caseless") else None
+        label = 0
     elif kind == "final":
         label = 1
-    elif shape == "bracket" or (shape == "word" and len(word) >= 4 and case in ("upper", "open")):
+    elif shape == "bracket" or (shape == "word" and len(word) >= 3):
         label = 1
     return features, label
 
@@ -246,7 +249,7 @@ class Splitter:
                 if text[unit : what[0]].strip() or not inner or inner[-1] not in END_MARKS.replace(";", ""):
                     continue
                 cut = b
-                while cut < end and text[cut] in CLOSERS:
+                while cut < end and text[cut] in CLOSERS and text[cut] not in "“‘\"'":
                     cut += 1
                 rest = text[cut:end].lstrip()
                 if not rest or (rest[0] not in ",;:—–-.!?…、，；：" and word_case(rest) != "lower" and not (rest[0] in "…")):
