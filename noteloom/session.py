@@ -59,6 +59,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/noteloom-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again: several computations start from it, and a
+    lost executor repeats none of what came before."""
+    folder = shared_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`shared_folder` named, on whatever file system it is."""
     jvm = spark.sparkContext._jvm
@@ -74,3 +82,22 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     ship(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want, *keys) if df.rdd.getNumPartitions() < want else df
+
+
+def sql_over(spark: SparkSession, text: str, **frames: DataFrame | int) -> DataFrame:
+    """Run SQL in which ``{name}`` stands for a DataFrame or a number; other braces stay as they are.
+
+    The temporary views behind the names are dropped as soon as the query is analysed."""
+    views = {}
+    for name, frame in frames.items():
+        if not isinstance(frame, DataFrame):
+            text = text.replace("{" + name + "}", str(frame))
+            continue
+        views[name] = f"noteloom_{name}_{uuid.uuid4().hex}"
+        frame.createOrReplaceTempView(views[name])
+        text = text.replace("{" + name + "}", views[name])
+    try:
+        return spark.sql(text)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
