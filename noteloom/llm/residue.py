@@ -60,7 +60,7 @@ SCRIPTS = [
 FILLER = [
     r"\[?(?:placeholder|dummy|sample|filler|example)(?: (?:narrative|text|note|paragraph|content))+\]?(?: goes here| here| only)?", r"this is (?:a |an |only )?(?:dummy|placeholder|sample|test|filler|example) (?:note|text|document|paragraph|record)(?: (?:for|to) [\w ]+)?",
     r"(?:your |the |main |body )?(?:text|note|content|findings) (?:goes |comes )?here", r"(?:please )?(?:replace|delete|overwrite|remove) this (?:paragraph|text|note|section|line)(?: before [\w ]+)?", r"please ignore(?: this (?:note|text|message))?",
-    r"(?:test[ ,]*){2,}", r"(?:(?:asdf|jkl|qwer|qwerty|asd|sdf|jklö|hjkl|zxcv|foo|bar|baz|bla|blah)[ ,]*){2,}", r"(?:(\p{L})\1{2,}[ ,]*)(?:(\p{L})\2{2,}[ ,]*)+", r"lorem ipsum.*",
+    r"(?:test[ ,]*){2,}", r"(?:(?:asdf|jkl|qwer|qwerty|asd|sdf|jklö|hjkl|zxcv|foo|bar|baz|bla|blah)[ ,]*){2,}", r"(?:(\p{L})\1{2,})(?:[ ,]+(\p{L})\2{2,})+", r"lorem ipsum.*",
     r"(?:dies ist (?:ein )?)?(?:blindtext|platzhaltertext|fülltext|beispieltext|mustertext)(?:,? bitte [\p{L} ]+| hier [\p{L} ]+)?", r"(?:hier )?(?:bitte )?text (?:hier )?(?:einfügen|eingeben|eintragen)",
     r"texte (?:de remplissage|d'exemple|factice|fictif|provisoire)(?:,? (?:à|avant|pour) [\p{L} ]+)*", r"(?:saisir|insérer|votre) (?:le |votre )?texte ici", r"texto de (?:ejemplo|relleno|prueba|muestra)(?:,? (?:sustituir|reemplazar|cambiar|borrar|eliminar)[\p{L} ]*)?", r"(?:escriba|inserte|su) (?:el |su )?texto aquí",
     r"(?:пример текста|текст-заполнитель|образец текста|введите текст)(?:,? [\p{L} ]+)?", r"(?:κείμενο (?:δείγμα|υπόδειγμα|πλήρωσης))(?:,? [\p{L} ]+)?", r"(?:此处|在此|请在此)(?:填写|输入|插入)(?:内容|正文|文本|文字)", r"(?:示例文本|占位文本|测试文本)[\p{L}，]*", r"ここに(?:本文|文章|テキスト|内容)を?(?:入力|記入|挿入)(?:してください)?", r"(?:ダミー|サンプル)(?:テキスト|文章)[\p{L}、]*",
@@ -79,7 +79,7 @@ def _numbered(rules: str) -> str:
 MESSAGE = _numbered(rf"(?u)^(?:[-*•]\s+|0[.)]\s+)?(?:(?:{_SENTENCE}|{_FILLED})(?:\s*[.!?。！？…]+\s*|\s+|$))+$")
 #: Words that tell of machines; they decide only for paragraphs that recur across languages and sources.
 CUES = r"(?iu)error|fault|script|cookie|browser|server|template|placeholder|dummy|sample|timeout|timed out|load|denied|forbidden|expired|unavailable|not found|exception|null|undefined|fehler|seite|platzhalter|erreur|remplissage|ejemplo|relleno|página|ошибк|доступ|страниц|脚本|页面|填写|加载|スクリプト|ページ|入力"
-SEPARATOR = r"(?:\r\n|\r|\n)[ \t 　]*(?:(?:\r\n|\r|\n)[ \t 　]*)+"
+SEPARATOR = r"(?:\r\n|\r|\n)[ \t\u00a0\u3000]*(?:(?:\r\n|\r|\n)[ \t\u00a0\u3000]*)+"
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     Masking: e-mail and web addresses become '@', numbers with their separators (so dates and times too)
     become '0', blanks are collapsed, case is folded. ``key`` is the hash of the masked paragraph."""
     masked = F.col("paragraph")
-    for pattern, by in ((r"\S+@\S+|(?:https?://|www\.)\S+", "@"), (r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0"), (r"[\s 　 ]+", " ")):
+    for pattern, by in ((r"\S+@\S+|(?:https?://|www\.)\S+", "@"), (r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0"), (r"[\s\u00a0\u3000\u202f]+", " ")):
         masked = F.regexp_replace(masked, pattern, by)
     rows = documents.select(
         "doc_id", "source", F.lower(F.regexp_extract("lang", "^([A-Za-z]{2,3})", 1)).alias("language"), F.explode(F.split("text", SEPARATOR)).alias("paragraph")
@@ -105,13 +105,11 @@ def message_paragraphs(found: DataFrame) -> DataFrame:
     )
     words = F.expr(r"filter(regexp_extract_all(masked, '\\p{L}+', 0), w -> length(w) > 1)")
     # filler in invented words: words that are met mostly beside "lorem ipsum"
-    listed = grouped.select("key", "masked", F.explode(F.array_distinct(words)).alias("word"))
+    listed = grouped.select("key", "masked", F.array_distinct(words).alias("w")).select("key", "masked", F.size("w").alias("different"), F.explode("w").alias("word"))
     lorem = F.col("masked").contains("lorem ipsum")
     lexicon = listed.groupBy("word").agg(F.sum(lorem.cast("int")).alias("beside"), F.count("*").alias("all")).where("beside >= 1 and beside >= 0.2 * all").select("word")
-    invented = (
-        listed.join(lexicon.withColumn("known", F.lit(1)), "word", "left").groupBy("key").agg((F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("share"), F.count("*").alias("different"))
-        .where("share >= 0.9 and different >= 3").select("key", F.lit(True).alias("invented"))
-    )
+    known = listed.where("different >= 3").select("key", "different", "word").join(lexicon, "word")
+    invented = known.groupBy("key", "different").agg(F.count("*").alias("known")).where("known >= 0.9 * different").select("key", F.lit(True).alias("invented"))
     kind = (
         F.when(F.col("masked").rlike(MESSAGE), "message").when(F.col("invented"), "filler")
         .when((F.col("sources") >= 2) & (F.col("languages") >= 2) & (F.length("masked") <= 120) & ~F.col("masked").rlike("[:：]$") & F.col("masked").rlike(CUES) & ~F.col("masked").rlike(r'["“„«」]'), "recurring")

@@ -64,8 +64,8 @@ _OPENING = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“":
 _MARK = re.compile(r"[()（）\[\]「」『』“”„«»\"《》【】]")
 CLOSERS = ")]）」』”»\"’'》】“"
 _LINE = re.compile(r"\r\n|\r|\n")
-_ITEM = re.compile(r"[ \t 　]*(?:[-*•‣◦·–]|\d{1,3}[.)])[ \t ]+(?=\S)")
-_THAI = re.compile(r"(?<=[฀-๿])[​-‏⁠﻿­]*(\s+)[​-‏⁠﻿­]*(?=[ก-ฺเ-๎])")
+_ITEM = re.compile(r"[ \t\u00a0\u3000]*(?:[-*•‣◦·–]|\d{1,3}[.)])[ \t\u00a0]+(?=\S)")
+_THAI = re.compile(r"(?<=[฀-๿])[\u200b-\u200f\u2060\ufeff\u00ad]*(\s+)[\u200b-\u200f\u2060\ufeff\u00ad]*(?=[ก-ฺเ-๎])")
 
 
 @lru_cache(maxsize=65536)
@@ -245,7 +245,7 @@ class Splitter:
                     unit = a
                 continue
             if what is not None:  # an enclosure closes
-                inner = text[what[0] + 1 : what[1]].rstrip(CLOSERS + "   ")
+                inner = text[what[0] + 1 : what[1]].rstrip(CLOSERS + " \u00a0\u202f")
                 if text[unit : what[0]].strip() or not inner or inner[-1] not in END_MARKS.replace(";", ""):
                     continue
                 cut = b

@@ -21,7 +21,7 @@ from noteloom.session import settings, ship, spread, table
 
 #: Rows that a block's suffix array holds at most; a longer partition is worked off in several blocks
 #: that still begin at record boundaries.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 200_000
 
 
 def suffix_intervals(symbols: np.ndarray, record: np.ndarray, weight: np.ndarray, depths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,7 +186,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All n-grams of the notes' sentences-free token rows: a row of tokens for each line of a text."""
+    """All n-grams of the notes, in lower case, within a line of a text, with both counts and their mark."""
     limits = settings(table(spark, sf_dir, "analysis_limits"))
     documents = table(spark, sf_dir, "documents")
     lines = spread(documents.select("doc_id", "text"), "doc_id").select(
