@@ -5,9 +5,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ def is_ascii(text: Column) -> Column:
 
 def primary_form(text: str) -> str:
     """Python twin of the primary form: NFC, blanks collapsed."""
-    return " ".join(re.sub(r"[\s\x1c-\x1f\x85]+", " ", unicodedata.normalize("NFC", text)).split(" ")).strip()
+    return re.sub(r"[\s\x1c-\x1f\x85]+", " ", unicodedata.normalize("NFC", text)).strip()
 
 
 def folded_form(primary: str) -> str:
@@ -56,24 +55,20 @@ def folded_form(primary: str) -> str:
 
 
 def with_forms(df: DataFrame, column: str, primary: str = "primary", folded: str = "folded") -> DataFrame:
-    """Add the primary and folded form of ``column``. ASCII rows stay in the JVM; the others pass Python once.
+    """Add the primary and folded form of ``column``. ASCII rows stay in the JVM: Python sees a null for them.
 
     Null stays null, blanks become the empty string."""
     ship(df.sparkSession)
-    native = df.where(F.col(column).isNull() | is_ascii(F.col(column))).withColumn(primary, collapsed(F.col(column)))
-    native = native.withColumn(folded, F.lower(F.col(primary)))
-    kinds = [f.simpleString().split(":", 1) for f in df.schema.fields]
-    schema = ", ".join(f"`{n}` {k}" for n, k in kinds) + f", `{primary}` string, `{folded}` string"
-    at = df.columns.index(column)
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            first = [primary_form(v) for v in batch.column(at).to_pylist()]
-            arrays = [*batch.columns, pa.array(first, pa.string()), pa.array([folded_form(v) for v in first], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, primary, folded])
-
-    other = df.where(F.col(column).isNotNull() & ~is_ascii(F.col(column))).mapInArrow(batches, schema)
-    return native.unionByName(other)
+
+    @F.pandas_udf("p string, f string")
+    def unicode_forms(texts: pd.Series) -> pd.DataFrame:
+        first = [None if v is None else primary_form(v) for v in texts.array]
+        return pd.DataFrame({"p": first, "f": [None if v is None else folded_form(v) for v in first]})
+
+    plain = is_ascii(F.col(column))
+    made = df.withColumn("_forms", unicode_forms(F.when(~plain, F.col(column))))
+    made = made.withColumn(primary, F.when(plain, collapsed(F.col(column))).otherwise(F.col("_forms.p")))
+    return made.withColumn(folded, F.when(plain, F.lower(F.col(primary))).otherwise(F.col("_forms.f"))).drop("_forms")
 
 
 def transformations(original: Column, primary: Column, folded: Column, composed: Column) -> Column:

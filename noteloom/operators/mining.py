@@ -46,7 +46,8 @@ def counted_mentions(documents: DataFrame, shortest: int = 1, longest: int = 4)
     """Mentions with ``primary`` and ``folded``, counted (``n``) by document and surface before anything
     else is done with them."""
     counted = mentions(documents, shortest, longest).groupBy("doc_id", "language", "note_type", "surface", "token_count").agg(F.count("*").alias("n"))
-    return with_forms(counted, "surface").where("primary <> ''")
+    # a surface begins with a token, so its primary form is never empty; it is checked before the forms are made
+    return with_forms(counted.where("surface <> ''"), "surface")
 
 
 def phrase_aggregates(counted: DataFrame, documents: int, min_document_frequency: int = 1) -> DataFrame:
@@ -60,8 +61,10 @@ def phrase_aggregates(counted: DataFrame, documents: int, min_document_frequency
         .agg(F.sum("n").alias("occurrence_count"), F.count("*").alias("document_frequency"), F.max("n").alias("most"), F.max("folded").alias("folded"))
         .where(F.col("document_frequency") >= min_document_frequency)
     )
-    note_types = counted.groupBy(*key, "note_type").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("note_type", "n")))).alias("note_type_counts"))
-    display = counted.groupBy(*key, "surface").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("display"))
+    # surfaces and note types are only looked at for phrases that stay, from one exchange
+    cells = counted.join(totals.select(*key), key, "left_semi").groupBy(*key, "surface", "note_type").agg(F.sum("n").alias("n"))
+    note_types = cells.groupBy(*key, "note_type").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("note_type", "n")))).alias("note_type_counts"))
+    display = cells.groupBy(*key, "surface").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("display"))
     score = (1 + F.log("most")) * (F.log((F.lit(documents) + 1) / (F.col("document_frequency") + 1)) + 1)
     return (
         totals.join(note_types, key).join(display, key)
