@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.session import spread, table
+from noteloom.session import spread, table, written
 
 #: Names that template fields have; a bare word in guillemets is a placeholder only if it is one of these
 #: or is joined by an underscore or point.
@@ -99,16 +99,20 @@ def paragraphs(documents: DataFrame) -> DataFrame:
 def message_paragraphs(found: DataFrame) -> DataFrame:
     """``key, masked, kind, documents, sources, languages`` of the distinct masked paragraphs that are
     messages or filler. ``found`` comes from :func:`paragraphs`."""
-    grouped = (
+    # each distinct paragraph once, written: the words, the rules and the verdicts all start from these rows
+    grouped = written(found.sparkSession, (
         found.groupBy("key", "source", "language").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
         .groupBy("key").agg(F.sum("n").alias("documents"), F.min("masked").alias("masked"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("language") != "", F.col("language"))).alias("languages"))
-    )
+    ))
     words = F.expr(r"filter(regexp_extract_all(masked, '\\p{L}+', 0), w -> length(w) > 1)")
     # filler in invented words: words that are met mostly beside "lorem ipsum"
     listed = grouped.select("key", "masked", F.array_distinct(words).alias("w")).select("key", "masked", F.size("w").alias("different"), F.explode("w").alias("word"))
     lorem = F.col("masked").contains("lorem ipsum")
-    lexicon = listed.groupBy("word").agg(F.sum(lorem.cast("int")).alias("beside"), F.count("*").alias("all")).where("beside >= 1 and beside >= 0.2 * all").select("word")
-    known = listed.where("different >= 3").select("key", "different", "word").join(lexicon, "word")
+    # the words beside "lorem ipsum" are few; only rows with one of them go on
+    beside = listed.where(lorem).groupBy("word").agg(F.count("*").alias("beside"))
+    met = listed.select("key", "different", "word").join(beside, "word")
+    lexicon = met.groupBy("word").agg(F.max("beside").alias("beside"), F.count("*").alias("all")).where("beside >= 0.2 * all").select("word")
+    known = met.where("different >= 3").join(lexicon, "word")
     invented = known.groupBy("key", "different").agg(F.count("*").alias("known")).where("known >= 0.9 * different").select("key", F.lit(True).alias("invented"))
     kind = (
         F.when(F.col("masked").rlike(MESSAGE), "message").when(F.col("invented"), "filler")
@@ -123,7 +127,7 @@ def residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts have none. Repeated rows give one; rows whose doc_id is null are left out,
     since they cannot be named. Extra columns are ignored."""
     rows = spread(documents.select("doc_id", "text", "lang", "source").where("doc_id is not null and text is not null"), "doc_id")
-    found = paragraphs(rows)
+    found = written(documents.sparkSession, paragraphs(rows))  # masked once, read for grouping and by key
     by_message = found.select("doc_id", "key").join(message_paragraphs(found).select("key"), "key", "left_semi").select("doc_id")
     by_placeholder = rows.where(F.col("text").rlike(PLACEHOLDER)).select("doc_id")
     return by_message.unionByName(by_placeholder).distinct()
