@@ -25,10 +25,6 @@ MAX_EDITS = 4
 #: Slips allowed (a transposition of neighbours is one): two, one in words of under eight letters, three in
 #: longer ones if one of them is a transposition.
 MAX_SLIPS = 2
-#: A word that is met at least ``OWN_WORD_LEAST`` times, and this share as often as the listed word that it
-#: resembles by two slips, is a word of its own and no slip of the pen.
-OWN_WORD_SHARE = 0.1
-OWN_WORD_LEAST = 3
 # Words around a concept that don't change it (after folding to the skeleton).
 IDLE_WORDS = """
     the a an of de du des la le les el los las der die das del d l und y et of for with in on
@@ -159,14 +155,11 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     matched = match_words(spark, sql_over(spark, "select distinct language, word from {k} where length(word) > 3", k=kinds), looked_up)
     near = written(spark, sql_over(
         spark,
-        f"""
-        select language, word, listed_word, edits from (
-          select u.language, u.word, m.listed_word, min(m.edits) as edits, max(u.times) as times from {{u}} u
-          join {{m}} m on m.language = u.language and (m.word = u.word or m.word = u.singular) group by u.language, u.word, m.listed_word) n
-        left join (select language as l, word as w, times as listed_times from {{d}}) on l = language and w = listed_word
-        where edits < 2 or times < {OWN_WORD_LEAST} or times < {OWN_WORD_SHARE} * coalesce(listed_times, 0)
+        """
+        select u.language, u.word, m.listed_word, min(m.edits) as edits from {u} u
+        join {m} m on m.language = u.language and (m.word = u.word or m.word = u.singular) group by u.language, u.word, m.listed_word
         """,
-        u=unknown, m=matched, d=distinct_words,
+        u=unknown, m=matched,
     ))
     # a word as it is, its singular, an abbreviated qualifier, or a word within the allowed edits
     means = written(spark, sql_over(

@@ -181,6 +181,12 @@ def test_mapping(spark):
     assert mapping.map_values(spark, t, d.limit(0)).where("code <> 'UNMATCHED'").count() == 0
 
 
+def test_a_misspelling_is_mapped_however_often_it_is_typed(spark):
+    d = spark.createDataFrame([("en", "A", "kutiralgia"), ("en", "B", "zobovosis")], "language string, code string, normalized_folded string")
+    t = spark.createDataFrame([("en", "kutofalgia")] * 40 + [("en", "zobavesis")] + [("en", "kutiralgia nos")] * 5, "language string, folded string")
+    assert {r["folded"]: r["code"] for r in mapping.map_values(spark, t, d).collect()} == {"kutofalgia": "A", "zobavesis": "B", "kutiralgia nos": "A"}
+
+
 # --- 7 and 8 -------------------------------------------------------------------------------------------------------
 
 
