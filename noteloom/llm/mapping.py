@@ -6,8 +6,8 @@ codes of a language: sides, courses, types) or roots. A typed word that is no wo
 plural or abbreviation, is looked up within k edits: each word of the list is cut into k + 1 segments, a
 word within k edits contains one of them unchanged near its place, so an equality join of the segments with the
 positional substrings of the typed words finds all candidates, and built-in ``levenshtein`` verifies
-them. The root and qualifiers then name the code; what no row of the list matches is reported through an
-anti-join.
+them. The roots, all of a name's, and the qualifiers then name the code; other values are compared with the whole
+names, blanks left out; what no row of the list matches is reported through an anti-join.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _words(column: str) -> str:
 
     The idle words pass through the same skeleton as the values, so they are equal to it letter by letter."""
     idle = _folded_words(IDLE_WORDS)
-    cut = f"split(trim(regexp_replace({_sounds(skeleton_sql(column))}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' ')), ' ')"
+    cut = f"split(trim(regexp_replace({_sounds(skeleton_sql(column))}, '[^\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+', ' ')), ' ')"
     numbers = "case when t in ('i', '1') then '1' when t in ('ii', '2') then '2' when t in ('iii', '3') then '3' else t end"
     return f"array_distinct(filter(transform({cut}, t -> {numbers}), t -> t <> '' and not array_contains({idle}, t)))"
 
@@ -122,7 +122,7 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     empty values mean nothing and are unmatched; so is a value whose root is listed for several codes that
     fit equally well, unless one of their designations is nearer in letters than all others. Repeated rows
     and extra columns don't matter; an empty list leaves everything unmatched."""
-    squeezed = f"regexp_replace({_sounds(skeleton_sql('{x}'))}, '[^\\\\p{{L}}\\\\p{{N}}]', '')"
+    squeezed = f"regexp_replace({_sounds(skeleton_sql('{x}'))}, '[^\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]', '')"
     names = written(spark, sql_over(
         spark,
         f"select distinct language, code, normalized_folded as name, {_words('normalized_folded')} as words, {squeezed.replace('{x}', 'normalized_folded')} as squeezed from {{d}} where normalized_folded is not null and language is not null and code is not null",
@@ -139,15 +139,17 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
         f"select language, word, count(distinct code) >= {QUALIFIER_CODES} or word rlike '^[0-9]+$' or array_contains({_folded_words(EPONYM_WORDS)}, word) as qualifier from (select language, code, explode(words) as word from {{n}}) group by language, word",
         n=names,
     ))
-    listed = sql_over(
+    eponyms = _folded_words(EPONYM_WORDS)
+    # every name with its roots; a name of qualifiers alone has none and is met by the same qualifiers alone
+    listed = written(spark, sql_over(
         spark,
         f"""
-        select language, code, name, max(case when not qualifier then word end) as root, count_if(not qualifier) as roots,
-               array_sort(collect_set(case when qualifier and not array_contains({_folded_words(EPONYM_WORDS)}, word) then word end)) as qualifiers
+        select language, code, name, collect_set(case when not qualifier then word end) as roots,
+               array_sort(collect_set(case when qualifier and not array_contains({eponyms}, word) then word end)) as qualifiers
         from (select n.language, n.code, n.name, k.word, k.qualifier from (select language, code, name, explode(words) as word from {{n}}) n join {{k}} k using (language, word))
-        group by language, code, name having roots = 1""",
+        group by language, code, name""",
         n=names, k=kinds,
-    )
+    ))
     words = sql_over(spark, "select language, folded, times, words, explode(words) as word from {v} where folded is not null", v=values)
     distinct_words = sql_over(spark, "select language, word, sum(times) as times from {w} group by language, word", w=words)
     unknown = sql_over(spark, "select language, word, regexp_replace(word, '(?<=.{4})s$', '') as singular, times from (select w.* from {w} w left anti join {k} k using (language, word)) where length(word) > 3", w=distinct_words, k=kinds)
@@ -180,46 +182,53 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
         """,
         w=distinct_words, k=kinds, n=near,
     ))
-    eponyms = _folded_words(EPONYM_WORDS)
-    read = sql_over(
+    # for each value: the words that could be read, those of them that are roots, and the qualifiers
+    read = written(spark, sql_over(
         spark,
         f"""
-        select w.language, w.folded, max(size(w.words)) as words,
-               collect_set(case when not m.qualifier then struct(m.edits, m.listed_word) end) as roots,
+        select w.language, w.folded, max(size(w.words)) = count(distinct w.word) as all_read, count(distinct case when not m.qualifier then w.word end) as root_words,
+               collect_set(case when not m.qualifier then struct(w.word, m.listed_word, m.edits) end) as roots,
                array_sort(collect_set(case when m.qualifier and not array_contains({eponyms}, m.listed_word) then m.listed_word end)) as qualifiers
         from {{w}} w join {{m}} m using (language, word) group by w.language, w.folded""",
         w=words, m=means,
-    )
+    ))
+    # all roots of a name are in the value, each by a word of its own; the value's other roots differ from the
+    # name. An abbreviation gives way to a longer root, and to a word that can't be read (it may be that word's qualifier).
     candidates = sql_over(
         spark,
         """
-        select r.language, r.folded, l.code, r.edits, levenshtein(r.folded, l.name) as letters,
-               size(array_except(r.qualifiers, l.qualifiers)) + size(array_except(l.qualifiers, r.qualifiers)) as differing
-        from (select language, folded, words, qualifiers, root.listed_word as root, root.edits as edits from (select *, explode(roots) as root from {r})) r
-        join {l} l on l.language = r.language and l.root = r.root
-        where (length(r.root) > 4 or r.words = 1) and (r.edits < 2 or (array_except(r.qualifiers, l.qualifiers) = array() and array_except(l.qualifiers, r.qualifiers) = array()))
+        select language, folded, code, edits, letters, unlike + root_words - rooted as differing, int(longest <= 4) as short from (
+          select r.language, r.folded, l.code, size(l.roots) as asked, max(r.root_words) as root_words, count(distinct r.root.listed_word) as roots, count(distinct r.root.word) as rooted,
+                 max(r.root.edits) as worst, max(length(r.root.listed_word)) as longest, max(r.all_read) as all_read, sum(r.root.edits) as edits, levenshtein(r.folded, l.name) as letters,
+                 size(array_except(r.qualifiers, l.qualifiers)) + size(array_except(l.qualifiers, r.qualifiers)) as unlike
+          from (select language, folded, all_read, root_words, qualifiers, explode(roots) as root from {r}) r
+          join (select *, explode(roots) as root from {l}) l on l.language = r.language and l.root = r.root.listed_word
+          group by r.language, r.folded, r.qualifiers, l.code, l.name, l.roots, l.qualifiers)
+        where roots = asked and rooted >= asked and (worst < 2 or unlike = 0) and (longest > 4 or all_read)
+        union all
+        select r.language, r.folded, l.code, 0L as edits, levenshtein(r.folded, l.name) as letters, 0 as differing, 0 as short
+        from {r} r join {l} l on l.language = r.language and l.qualifiers = r.qualifiers
+        where l.roots = array() and l.qualifiers <> array() and r.root_words = 0 and r.all_read
         """,
         r=read, l=listed,
     )
     by_word = written(spark, sql_over(
         spark,
         """
-        select language, folded, min(code) as code, min(edits) as edits from (
-          select *, rank() over (partition by language, folded order by differing, edits, letters) as place from {c})
+        select language, folded, min(code) as code, int(min(edits)) as edits from (
+          select *, rank() over (partition by language, folded order by differing, short, edits, letters) as place from {c})
         where place = 1 group by language, folded having count(distinct code) = 1
         """,
         c=candidates,
     ))
-    # values typed without any blank are compared with the whole names of several words, blanks left out
+    # all other values are compared with the whole names, blanks left out
     glued = sql_over(
         spark,
-        """
-        select v.language, v.folded, v.squeezed as word from {v} v left anti join {c} c on c.language = v.language and c.folded = v.folded
-        where v.folded is not null and trim(v.folded) not rlike '[\\\\p{L}\\\\p{N}][^\\\\p{L}\\\\p{N}]+[\\\\p{L}\\\\p{N}]'""",
+        "select v.language, v.folded, v.squeezed as word from {v} v left anti join {c} c on c.language = v.language and c.folded = v.folded where v.squeezed <> ''",
         v=values, c=by_word,
     )
-    spaced = sql_over(spark, "select language, code, squeezed as word from {n} where squeezed <> name and length(squeezed) > 8 and size(words) > 1", n=names)
-    whole = match_words(spark, sql_over(spark, "select distinct language, word from {s}", s=spaced), sql_over(spark, "select distinct language, word from {g} where length(word) > 8", g=glued))
+    spaced = sql_over(spark, "select language, code, squeezed as word from {n} where squeezed <> ''", n=names)
+    whole = match_words(spark, sql_over(spark, "select distinct language, word from {s}", s=spaced), sql_over(spark, "select distinct language, word from {g}", g=glued))
     by_whole = sql_over(
         spark,
         """

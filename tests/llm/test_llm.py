@@ -187,6 +187,18 @@ def test_a_misspelling_is_mapped_however_often_it_is_typed(spark):
     assert {r["folded"]: r["code"] for r in mapping.map_values(spark, t, d).collect()} == {"kutofalgia": "A", "zobavesis": "B", "kutiralgia nos": "A"}
 
 
+def test_names_of_any_number_of_roots(spark):
+    listed = [("en", "A", "kutiral zobovosis"), ("en", "B", "zobovosis"), ("en", "C", "acute left"), ("en", "D", "tf"), ("en", "F", "fapitolalgia mezurin gobaritis"), ("hi", "H", "तीव्र केबोबुटिपीडा"), ("th", "T", "บาฟีมาเนปวดกราม")]
+    listed += [("en", f"X{i}", f"{q}xx{'bcdfghklmn'[i]}osomulgia") for i in range(10) for q in ("acute ", "left ")]
+    d = spark.createDataFrame(listed, "language string, code string, normalized_folded string")
+    cases = {
+        ("en", "zobovosis, kutiral"): "A", ("en", "kutirl zobovosis?"): "A", ("en", "zobovosis"): "B", ("en", "left, acute"): "C", ("en", "left nebilorosis"): "UNMATCHED", ("en", "acute tf"): "D", ("en", "tf nebilorosis"): "UNMATCHED",
+        ("en", "fapitol algia mezurin gobaritis"): "F", ("en", "fapitolalgiamezurin gobariti"): "F", ("hi", "केबोबुटिपीडा तीव्र"): "H", ("hi", "तीव्र केबोबुटपीडा"): "H", ("th", "บาฟีมาเนปวดกาม ?"): "T",
+    }
+    t = spark.createDataFrame(list(cases), "language string, folded string")
+    assert {(r["language"], r["folded"]): r["code"] for r in mapping.map_values(spark, t, d).collect()} == cases
+
+
 # --- 7 and 8 -------------------------------------------------------------------------------------------------------
 
 
