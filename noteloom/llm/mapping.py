@@ -22,9 +22,12 @@ from noteloom.session import sql_over, table, written
 QUALIFIER_CODES = 10
 #: Letters edited at most (a transposition is two of them).
 MAX_EDITS = 4
-#: Slips allowed (a transposition of neighbours is one): two, one in words of under eight letters, three in
-#: longer ones if one of them is a transposition.
+#: Slips allowed (a transposition of neighbours is one): two, one in words of under eight letters and none in
+#: words of under four (but one in words of two or three Chinese or Japanese characters), three in longer ones
+#: if one of them is a transposition.
 MAX_SLIPS = 2
+#: A word of Chinese or Japanese characters alone.
+CJK_WORD = r"^[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]+$"
 # Words around a concept that don't change it (after folding to the skeleton).
 IDLE_WORDS = """
     the a an of de du des la le les el los las der die das del d l und y et of for with in on
@@ -64,30 +67,36 @@ def _words(column: str) -> str:
 def match_words(spark: SparkSession, listed: DataFrame, typed: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """``language, word, listed_word, edits``: every word of ``listed`` (``language, word``) within the allowed
     slips of a word of ``typed`` (``language, word``), both distinct; ``edits`` counts the slips. Words that
-    are alike have 0."""
+    are alike have 0. Numbers are never slips of each other."""
+    # letters edited at most in a listed word of n letters: words of up to 6 have one slip, so two letters at most
+    # (longer typed words within their two slips are longer by two letters); there is always one segment more
+    edits = lambda n: f"least({{k}}, if({n} > 6, {{k}}, least(2, {n} - 1)))"
     # each word makes many substrings of few bytes: they are made where the words are, spread over all cores
     typed = typed.repartition(2 * spark.sparkContext.defaultParallelism, "language", "word")
     segments = sql_over(
         spark,
-        """
+        f"""
         select language, word as listed_word, n, i, substr(word, start + 1, length) as segment from (
           select language, word, n, i, i * div(n, k + 1) + greatest(0, i - (k + 1 - n % (k + 1))) as start,
                  div(n, k + 1) + int(i >= k + 1 - n % (k + 1)) as length
-          from (select language, word, length(word) as n, {k} as k, explode(sequence(0, {k})) as i from {listed} where length(word) > {k}))
+          from (select *, explode(sequence(0, k)) as i
+                from (select language, word, length(word) as n, {edits("length(word)")} as k from {{listed}} where length(word) > 1 and not word rlike '^[0-9]+$')))
         """.replace("div(n, k + 1)", "int(floor(n / (k + 1)))"),
         listed=listed, k=max_edits,
     )
     probes = sql_over(
         spark,
-        """
+        f"""
         select distinct language, word, n, i, substr(word, start + shift + 1, length) as segment from (
           select language, word, n, i, m, start, length, explode(sequence(low, high)) as shift from (
             select *, int(floor(n / (k + 1))) + int(i >= k + 1 - n % (k + 1)) as length,
                    i * int(floor(n / (k + 1))) + greatest(0, i - (k + 1 - n % (k + 1))) as start,
                    greatest(-i, m - n - (k - i)) as low, least(i, m - n + (k - i)) as high
-            from (select language, word, m, k, n, explode(sequence(0, k)) as i
-                  from (select language, word, length(word) as m, {k} as k, explode(sequence(greatest({k} + 1, length(word) - {k}), length(word) + {k})) as n
-                        from {typed} where length(word) > 3)))
+            from (select *, explode(sequence(0, k)) as i
+                  from (select *, {edits("n")} as k
+                        from (select language, word, length(word) as m, explode(sequence(greatest(2, length(word) - {{k}}), length(word) + {{k}})) as n
+                              from {{typed}} where length(word) > 1))
+                  where abs(m - n) <= k))
           where low <= high)
         where start + shift >= 0 and start + shift + length <= m
         """,
@@ -109,7 +118,7 @@ def match_words(spark: SparkSession, listed: DataFrame, typed: DataFrame, max_ed
     )
     return sql_over(
         spark,
-        f"select language, word, listed_word, int(slips) as edits from {{p}} where slips <= least({MAX_SLIPS}, int(greatest(length(word), length(listed_word)) / 4)) or (slips = {MAX_SLIPS + 1} and letters > slips and length(word) > 8)",
+        f"select language, word, listed_word, int(slips) as edits from {{p}} where slips <= least({MAX_SLIPS}, int(greatest(length(word), length(listed_word)) / 4)) or (slips = 1 and word rlike '{CJK_WORD}' and listed_word rlike '{CJK_WORD}') or (slips = {MAX_SLIPS + 1} and letters > slips and length(word) > 8)",
         p=pairs,
     )
 
@@ -152,9 +161,9 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     ))
     words = sql_over(spark, "select language, folded, times, words, explode(words) as word from {v} where folded is not null", v=values)
     distinct_words = sql_over(spark, "select language, word, sum(times) as times from {w} group by language, word", w=words)
-    unknown = sql_over(spark, "select language, word, regexp_replace(word, '(?<=.{4})s$', '') as singular, times from (select w.* from {w} w left anti join {k} k using (language, word)) where length(word) > 3", w=distinct_words, k=kinds)
+    unknown = sql_over(spark, "select language, word, regexp_replace(word, '(?<=.{4})s$', '') as singular, times from (select w.* from {w} w left anti join {k} k using (language, word)) where length(word) > 1", w=distinct_words, k=kinds)
     looked_up = sql_over(spark, "select language, word from {u} union select language, singular from {u}", u=unknown)
-    matched = match_words(spark, sql_over(spark, "select distinct language, word from {k} where length(word) > 3", k=kinds), looked_up)
+    matched = match_words(spark, sql_over(spark, "select distinct language, word from {k} where length(word) > 1", k=kinds), looked_up)
     near = written(spark, sql_over(
         spark,
         """

@@ -170,6 +170,25 @@ def test_pigeonhole_finds_every_near_word(spark):
     assert {p: n for p, n in got.items() if n <= 2} == expected
 
 
+def test_short_words_have_near_words(spark):
+    rng = random.Random(6)
+    word = lambda lengths, letters: "".join(rng.choice(letters) for _ in range(rng.choice(lengths)))
+    words, typed = sorted({word([2, 3, 4, 5, 6, 7], "abc") for _ in range(80)}), sorted({word([2, 3, 4, 5, 6, 7, 8], "abc") for _ in range(80)})
+    frame = lambda part: spark.createDataFrame([("en", w) for w in part], "language string, word string")
+    got = {(r["word"], r["listed_word"]): r["edits"] for r in mapping.match_words(spark, frame(words), frame(typed)).collect() if r["edits"]}
+
+    def one_slip(a, b):  # one letter more, less or other, or two neighbours swapped
+        cut = {a[:i] + a[i + 1 :] for i in range(len(a))}
+        return b in cut or a in {b[:i] + b[i + 1 :] for i in range(len(b))} or (len(a) == len(b) and (sum(x != y for x, y in zip(a, b)) == 1 or b in {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}))
+
+    expected = {(t, w) for t in typed for w in words if t != w and max(len(t), len(w)) > 3 and one_slip(t, w)}
+    assert {p for p, n in got.items() if n == 1} == expected and {len(w) for _, w in expected} >= {3, 4, 5, 6, 7}
+    d = spark.createDataFrame([("zh", "A", "肺炎"), ("zh", "B", "锦瑶病"), ("zh", "C", "楸筠芮痛"), ("en", "D", "pox"), ("en", "E", "gout"), ("en", "N", "2019")], "language string, code string, normalized_folded string")
+    cases = {("zh", "肺焱"): "A", ("zh", "锦遥病"): "B", ("zh", "楸芮痛"): "C", ("en", "pix"): "UNMATCHED", ("en", "guot"): "E", ("en", "gou"): "E", ("en", "2018"): "UNMATCHED"}
+    t = spark.createDataFrame(list(cases), "language string, folded string")
+    assert {(r["language"], r["folded"]): r["code"] for r in mapping.map_values(spark, t, d).collect()} == cases
+
+
 def test_mapping(spark):
     listed = [("en", "A", "kutiralgia"), ("en", "B", "acute kutiralgia"), ("en", "C", "kutiralgia of the left knee"), ("en", "D", "zobovosis type 2"), ("en", "E", "zobovosis type 1"), ("de", "A", "kutiralgie")]
     listed += [(lang, f"X{i}", f"{q}xx{'bcdfghklmn'[i]}osomulgia") for lang in ("en",) for i in range(10) for q in ("acute ", "left knee ")]
