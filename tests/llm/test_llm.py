@@ -62,6 +62,14 @@ def test_one_spelling(spark):
     assert lookalike.consistent(spark, df.limit(0)).count() == 0
 
 
+def test_accents_that_no_letter_takes(spark):
+    values = {1: ("ru", "остры\u0301й", "острый"), 2: ("en", "fax\u0302ol", "faxol"), 3: ("ru", "\u0430\u0308", "\u04d3"), 4: ("fr", "s\u0435\u0301ve\u0300re", "s\u00e9v\u00e8re"), 5: ("en", "\u00e2\u0323", "\u1ead"), 6: ("en", "a\u0302\u0323", "\u1ead"), 7: ("hi", "पीडा", "पीडा"), 8: ("en", "q\u0301", "q")}
+    df = spark.createDataFrame([("m", i, lang, v) for i, (lang, v, _) in values.items()], "record_kind string, record_id long, language string, value string")
+    got = {r["record_id"]: r for r in lookalike.consistent(spark, df).collect()}
+    assert {i: got[i]["canonical"] for i in got} == {i: c for i, (*_, c) in values.items()}
+    assert {i for i in got if got[i]["out_of_line"] and got[i]["canonical"] != got[i]["value"]} == {1, 2, 3, 4, 5, 6, 8}
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
