@@ -20,11 +20,13 @@ from noteloom.session import spread, table, written
 FIELD_NAMES = "name|date|dose|ward|provider|patient|allergies|diagnosis|findings|follow_up|visit_date|visitdate|dx_primary|patient_name|signature|address|phone|age|sex"
 #: Words that tell a writer to fill something in.
 FILL_WORDS = "insert|enter|choose|select|fill|add|specify|complete|type|pick|placeholder|insertar|completar|rellenar|elegir|indicar|insérer|compléter|choisir|indiquer|saisir|eintragen|einsetzen|einfügen|ausfüllen|auswählen|wählen|указать|вставить|заполнить|выбрать|συμπληρώστε|εισάγετε|επιλέξτε|填写|插入|选择|请填|入力|記入|選択|挿入|أدخل|اكتب|اختر|दर्ज|भरें|चुनें|ใส่|กรอก|เลือก"
-_FIELD = r"[A-Za-z_][\w.\- ]{0,60}"
+#: A field's name in any alphabet, of any length within its line, with filters behind bars.
+_WORD = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*"
+_FIELD = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]*(?:\|[^{}<>\[\]\n]*)?"
 PLACEHOLDER = "|".join([
     rf"\{{\{{\s*{_FIELD}\s*\}}\}}", rf"[$#]\{{\s*{_FIELD}\}}", rf"<<\s*{_FIELD}>>", rf"\[\[\s*{_FIELD}\]\]",
-    rf"\{{%\s*{_FIELD}%\}}", rf"<%=?\s*{_FIELD}%>", r"%%[A-Za-z_][\w.]*%%", r"%\([A-Za-z_][\w.]*\)[sdf]", r"@@[A-Za-z_][\w.]*@@",
-    r"\$[A-Z][A-Z_]+\$", r"\{[A-Za-z_][\w.]*\}", r"\{\d\}", r"&lt;[A-Za-z_][\w. ]*&gt;",
+    rf"\{{%\s*{_FIELD}%\}}", rf"<%=?\s*{_FIELD}%>", rf"%%{_WORD}%%", rf"%\({_WORD}\)[sdf]", rf"@@{_WORD}@@",
+    r"\$[A-Z][A-Z_]+\$", r"\{[A-Za-z_][\w.]*\}", r"\{\d\}", r"&lt;[\p{L}_][\p{L}\p{M}\p{N}_. ]*&gt;",
     rf"«(?:{FIELD_NAMES}|[a-z]+(?:[_.][a-z]+)+)»", r"_{5,}", r"\bTBD(?:_\w+)?\b", r"\b[A-Z]+_FILL_IN\b",
     rf"(?iu)[\[<（【［][^\[\]<>\n]{{0,60}}(?<![\p{{L}}])(?:{FILL_WORDS})(?![\p{{Ll}}])[^\[\]<>\n]{{0,60}}[\]>）】］]",
 ])
@@ -116,7 +118,7 @@ def message_paragraphs(found: DataFrame) -> DataFrame:
     invented = known.groupBy("key", "different").agg(F.count("*").alias("known")).where("known >= 0.9 * different").select("key", F.lit(True).alias("invented"))
     kind = (
         F.when(F.col("masked").rlike(MESSAGE), "message").when(F.col("invented"), "filler")
-        .when((F.col("sources") >= 2) & (F.col("languages") >= 2) & (F.length("masked") <= 120) & ~F.col("masked").rlike("[:：]$") & F.col("masked").rlike(CUES) & ~F.col("masked").rlike(r'["“„«」]'), "recurring")
+        .when((F.col("sources") >= 2) & (F.col("languages") >= 2) & ~F.col("masked").rlike("[:：]$") & F.col("masked").rlike(CUES) & ~F.col("masked").rlike(r'["“„«」]'), "recurring")
     )
     return grouped.join(invented, "key", "left").withColumn("kind", kind).where("kind is not null").select("key", "masked", "kind", "documents", "sources", "languages")
 

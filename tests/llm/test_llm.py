@@ -282,3 +282,13 @@ def test_residue(spark):
     df = spark.createDataFrame(rows + rows[:2] + [(None, "Error 404", "en", "s")], "doc_id long, text string, lang string, source string")
     assert sorted(r["doc_id"] for r in residue.residue(df).collect()) == list(range(len(found)))
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_fields_in_any_alphabet_and_long_notices(spark):
+    found = ["Пациент {{ имя_пациента }} осмотрен", "{{ name | upper }}", "Δόση: ${δόση}", "<<患者名>>", "[[अगली तारीख]]", "{{ اسم }}", "%%дата%%", "{{ " + "long_" * 20 + "name }}"]
+    fine = ["{{ 54 }} [[3]] <<12>>", "{12|13}", "Pain << yesterday, > today"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(found + fine)]
+    notice = "the viewer of this clinic met an error " + "and tells nothing more of what it was doing " * 4
+    rows += [(100 + i, f"Text {'abcd'[i]}\n\n{notice}", lang, src) for i, (lang, src) in enumerate((("en", "s"), ("de", "t"), ("fr", "s"), ("es", "t")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in residue.residue(df).collect()) == [*range(len(found)), 100, 101, 102, 103]
