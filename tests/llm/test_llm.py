@@ -147,6 +147,17 @@ def test_personal_information():
     assert finder.find(None) == []
 
 
+def test_personal_information_of_other_scripts():
+    finder = pii.Finder(["Batask", "Иванова", "Νικολάου", "张伟", "田中", "太郎", "सुनीता", "ليلى", "สมชาย"])
+    cases = {
+        "вчера Иванова звонила": [("name", "Иванова")], "η Νικολάου ήρθε": [("name", "Νικολάου")], "患者张伟来诊": [("name", "张伟")], "田中 太郎様": [("name", "田中 太郎")], "कल सुनीता आई": [("name", "सुनीता")], "सुनीताबेन": [], "جاءت ليلى اليوم": [("name", "ليلى")], "คุณสมชายมา": [("name", "สมชาย")],
+        "12 Oak Street, New Bedford 02740 is home": [("street_address", "12 Oak Street, New Bedford 02740")], "12 Oak Street, Robu Patient rests": [("street_address", "12 Oak Street, Robu")],
+        "MRN 1234567 seen": [("identity_number", "1234567")], "Room 1234567 seen": [], "电话 ６７１ ５５５ ０１４２": [("phone", "６７１ ５５５ ０１４２")], "फोन ०१२३४५६७८९": [("phone", "०१२३४५६७८९")],
+    }
+    for text, expected in cases.items():
+        assert [(k, text[a:b]) for k, a, b in finder.find(text)] == expected, text
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([("d", 1, "Call 671-555-0142 now", "x"), ("d", 1, "Call 671-555-0142 now", "y"), ("d", 2, None, "z"), ("d", 3, "a" * 100_000, "w")], "record_kind string, record_id long, text string, extra string")
     lexicon = spark.createDataFrame([], "name string")
