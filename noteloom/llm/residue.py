@@ -1,11 +1,20 @@
 """Problem 9: template residue, filler, error pages and script notices among the notes.
 
-Paragraphs are masked (numbers, dates, e-mail and web addresses), and equal masked paragraphs are grouped
-by hash over all documents and sources. Each distinct masked paragraph is classified once: by full-match
-phrase rules, or, where it recurs across sources and across languages of the surrounding notes (as no
-clinician's sentence does), by weaker cue words. Filler in invented words is recognised by the words of
-those paragraphs that say "lorem ipsum". The verdicts are joined back by hash. Unfilled placeholders are
-found anywhere in a text by their syntax. All rules are built-in expressions.
+Every paragraph is masked in the pass that reads it: unfilled fields by the placeholder rules, then e-mail and
+web addresses, then numbers, dates and times. Equal masked paragraphs are one group, by two independent 64-bit
+hashes (128 bits, so that groups of 10^11 paragraphs don't meet by chance), counted over all documents, sources
+and languages. A group is residue
+
+* if it recurs widely: over two sources or more and over the languages of the notes around it, as no
+  clinician's sentence does, since that is written in the language of its note. Headings, quotations and
+  single words recur so without being messages and are left out;
+* if a masked field stands in it;
+* if every sentence of it is one that a system or a template writes (phrase rules). These label the groups that recur
+  and decide those that were met once;
+* if it is filler in invented words: the words that stand beside "lorem ipsum" and hardly anywhere else.
+
+Rules are anchored at the start of a sentence and have no nested repetition, so a paragraph costs time in
+proportion to its length. All are built-in expressions.
 """
 
 from __future__ import annotations
@@ -22,14 +31,17 @@ FIELD_NAMES = "name|date|dose|ward|provider|patient|allergies|diagnosis|findings
 FILL_WORDS = "insert|enter|choose|select|fill|add|specify|complete|type|pick|placeholder|insertar|completar|rellenar|elegir|indicar|insérer|compléter|choisir|indiquer|saisir|eintragen|einsetzen|einfügen|ausfüllen|auswählen|wählen|указать|вставить|заполнить|выбрать|συμπληρώστε|εισάγετε|επιλέξτε|填写|插入|选择|请填|入力|記入|選択|挿入|أدخل|اكتب|اختر|दर्ज|भरें|चुनें|ใส่|กรอก|เลือก"
 #: A field's name in any alphabet, of any length within its line, with filters behind bars.
 _WORD = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*"
-_FIELD = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]*(?:\|[^{}<>\[\]\n]*)?"
-PLACEHOLDER = "|".join([
+_FIELD = r"[\p{L}_][\p{L}\p{M}\p{N}_.\- ]*+(?:\|[^{}<>\[\]\n%]*+)?"
+PLACEHOLDER = r"(?=[{$#<\[%@«_&（【*A-Z])(?:" + "|".join([
     rf"\{{\{{\s*{_FIELD}\s*\}}\}}", rf"[$#]\{{\s*{_FIELD}\}}", rf"<<\s*{_FIELD}>>", rf"\[\[\s*{_FIELD}\]\]",
     rf"\{{%\s*{_FIELD}%\}}", rf"<%=?\s*{_FIELD}%>", rf"%%{_WORD}%%", rf"%\({_WORD}\)[sdf]", rf"@@{_WORD}@@",
     r"\$[A-Z][A-Z_]+\$", r"\{[A-Za-z_][\w.]*\}", r"\{\d\}", r"&lt;[\p{L}_][\p{L}\p{M}\p{N}_. ]*&gt;",
     rf"«(?:{FIELD_NAMES}|[a-z]+(?:[_.][a-z]+)+)»", r"_{5,}", r"\bTBD(?:_\w+)?\b", r"\b[A-Z]+_FILL_IN\b",
+    # stars in a word's place, dates of letters, names of fields in single brackets
+    r"(?<=[\p{L}:,] )\*{3,}(?=[\s.,;:)]|\z)", r"\b(?:XX|DD|MM|TT|JJ)([/.\-])(?:XX|DD|MM)\1(?:X{2,4}|Y{2,4}|J{2,4}|A{2,4})\b",
+    rf"<(?:{FIELD_NAMES}|[a-z]+(?:[_.][a-z]+)+|\p{{L}}+(?: \p{{L}}+)+)>", r"\[[A-Z]+(?:_[A-Z]+)+\]",
     rf"(?iu)[\[<（【［][^\[\]<>\n]{{0,60}}(?<![\p{{L}}])(?:{FILL_WORDS})(?![\p{{Ll}}])[^\[\]<>\n]{{0,60}}[\]>）】］]",
-])
+]) + ")"
 
 _NOUN = r"(?:(?:requested|chart|clinical|medical|patient)\s)*(?:document|record|note|letter|page|chart|file|form|report|result|section|site|service|viewer)"
 _FAILED = r"(?:(?:has |have )?failed to (?:load|open|render)|(?:could|can) ?not be (?:opened|loaded|located|found|shown|displayed|rendered|reached)|(?:was|is) not (?:found|available)|(?:has )?timed out|(?:is|are) (?:no longer|temporarily|currently|not) available|is (?:temporarily |currently )?unavailable|(?:did|does) not (?:answer|respond|exist|load)|has expired|has been (?:removed|moved)|is missing)"
@@ -68,8 +80,6 @@ FILLER = [
     r"(?:пример текста|текст-заполнитель|образец текста|введите текст)(?:,? [\p{L} ]+)?", r"(?:κείμενο (?:δείγμα|υπόδειγμα|πλήρωσης))(?:,? [\p{L} ]+)?", r"(?:此处|在此|请在此)(?:填写|输入|插入)(?:内容|正文|文本|文字)", r"(?:示例文本|占位文本|测试文本)[\p{L}，]*", r"ここに(?:本文|文章|テキスト|内容)を?(?:入力|記入|挿入)(?:してください)?", r"(?:ダミー|サンプル)(?:テキスト|文章)[\p{L}、]*",
     r"(?:نص تجريبي|أدخل النص هنا|نص بديل)[\p{L} ،]*", r"(?:नमूना पाठ|यहाँ पाठ लिखें|यहां पाठ लिखें)[\p{L}\p{M} ]*", r"(?:ข้อความตัวอย่าง|ใส่ข้อความที่นี่|พิมพ์ข้อความที่นี่)[\p{L}\p{M} ]*",
 ]
-_SENTENCE = "|".join(f"(?:{rule})" for rule in (*ERRORS, *SCRIPTS))
-_FILLED = "|".join(f"(?:{rule})" for rule in FILLER)
 
 
 def _numbered(rules: str) -> str:
@@ -77,62 +87,121 @@ def _numbered(rules: str) -> str:
     return rules.replace(r"(\p{L})\1{2,}", r"(?<la>\p{L})\k<la>{2,}").replace(r"(\p{L})\2{2,}", r"(?<lb>\p{L})\k<lb>{2,}")
 
 
-#: A paragraph that is nothing but such sentences.
-MESSAGE = _numbered(rf"(?u)^(?:[-*•]\s+|0[.)]\s+)?(?:(?:{_SENTENCE}|{_FILLED})(?:\s*[.!?。！？…]+\s*|\s+|$))+$")
-#: Words that tell of machines; they decide only for paragraphs that recur across languages and sources.
-CUES = r"(?iu)error|fault|script|cookie|browser|server|template|placeholder|dummy|sample|timeout|timed out|load|denied|forbidden|expired|unavailable|not found|exception|null|undefined|fehler|seite|platzhalter|erreur|remplissage|ejemplo|relleno|página|ошибк|доступ|страниц|脚本|页面|填写|加载|スクリプト|ページ|入力"
+_RULES = _numbered("|".join(f"(?:{rule})" for rule in (*ERRORS, *SCRIPTS, *FILLER)))
+#: How a message begins: the only test that most paragraphs undergo.
+BEGINS = rf"\A(?:{_RULES})"
+#: A whole sentence of filler, and of any message.
+_FILLED = rf"\A(?:{_numbered('|'.join(f'(?:{rule})' for rule in FILLER))})\z"
+SENTENCE = rf"\A(?:{_RULES})\z"
+BULLET = r"\A(?:[-*•]|0[.)])\s+"
+#: Points that end no sentence.
+SHORTENED = r"\b(err|no|nr|ref|art)\."
+#: Where sentences of a message end; between lower-case words the blank may be lacking.
+SENTENCE_END = r"[!?。！？…]+|\.+(?=\s|\z|\p{L}{3,}\s)"
+#: What stands for an unfilled field.
+FIELD_SIGN = "⟦⟧"
+#: Languages other than the most frequent one must have so much of a group that recurs widely.
+LEAST_SPREAD = 0.1
+#: Filler words are looked up as a set up to so many, in a join beyond.
+SET_WORDS = 5_000
 SEPARATOR = r"(?:\r\n|\r|\n)[ \t\u00a0\u3000]*(?:(?:\r\n|\r|\n)[ \t\u00a0\u3000]*)+"
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, language, masked, key`` of each non-empty paragraph of ``documents``.
-
-    Masking: e-mail and web addresses become '@', numbers with their separators (so dates and times too)
-    become '0', blanks are collapsed, case is folded. ``key`` is the hash of the masked paragraph."""
-    masked = F.col("paragraph")
-    for pattern, by in ((r"\S+@\S+|(?:https?://|www\.)\S+", "@"), (r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0"), (r"[\s\u00a0\u3000\u202f]+", " ")):
-        masked = F.regexp_replace(masked, pattern, by)
+    """``doc_id, source, language, masked, key_a, key_b, by, prose`` of each non-empty paragraph of ``documents``.
+
+    Masking: unfilled fields become a sign, e-mail and web addresses '@', numbers with their separators (so
+    dates and times too) '0', blanks are collapsed, case is folded. ``by`` says what tells residue by itself
+    ('placeholder', 'phrase'), ``prose`` whether wide recurrence would tell it."""
+    raw = F.col("paragraph")
+    masked = F.regexp_replace(raw, PLACEHOLDER, FIELD_SIGN)
+    masked = F.when(F.contains(masked, F.lit("@")) | F.contains(masked, F.lit("://")) | F.contains(masked, F.lit("www.")), F.regexp_replace(masked, r"(?<!\S)[^\s@]+@\S+|(?:https?://|www\.)\S+", "@")).otherwise(masked)
+    masked = F.regexp_replace(masked, r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0")
+    masked = F.regexp_replace(masked, r"[\t\n\x0B\f\r\u00a0\u3000\u202f][\s\u00a0\u3000\u202f]*|\s{2,}", " ")
     rows = documents.select(
-        "doc_id", "source", F.lower(F.regexp_extract("lang", "^([A-Za-z]{2,3})", 1)).alias("language"), F.explode(F.split("text", SEPARATOR)).alias("paragraph")
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.lower(F.regexp_extract("lang", "^([A-Za-z]{2,3})", 1)).alias("language"), F.explode(F.split("text", SEPARATOR)).alias("paragraph")
     )
-    return rows.select("doc_id", "source", "language", F.lower(F.trim(masked)).alias("masked")).where("masked <> ''").withColumn("key", F.xxhash64("masked"))
+    rows = rows.select("doc_id", "source", "language", F.lower(F.trim(masked)).alias("masked")).where("masked <> ''")
+    bare = F.regexp_replace("masked", BULLET, "")
+    sentences = F.split(F.regexp_replace(bare, SHORTENED, "$1"), SENTENCE_END)
+    phrase = bare.rlike(BEGINS) & F.forall(sentences, lambda p: (F.trim(p) == "") | F.trim(p).rlike(SENTENCE))
+    phrase = phrase | bare.startswith("lorem ipsum")
+    by = F.when(F.contains(F.col("masked"), F.lit(FIELD_SIGN)), "placeholder").when(phrase, "phrase")
+    prose = ~F.col("masked").rlike(r"[:：]\z") & ~F.col("masked").rlike(r'["“„«»「」]') & F.col("masked").rlike(r"\p{L}[^ ]* [^ ]*\p{L}|[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]{4}")
+    return rows.select("*", F.xxhash64("masked").alias("key_a"), F.xxhash64(F.lit("second"), "masked").alias("key_b"), by.alias("by"), prose.alias("prose"))
+
+
+KEY = ["key_a", "key_b"]
+
+
+def widely_recurring(found: DataFrame) -> DataFrame:
+    """``key_a, key_b`` of the groups of prose that recur over sources and languages. Notes without a language
+    say nothing of languages; counts are combined before each shuffle, so no hot group is gathered."""
+    by_language = found.where("prose").groupBy(*KEY, "language").agg(F.count("*").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"))
+    named = F.when(F.col("language") != "", F.col("n"))
+    whole = by_language.groupBy(*KEY).agg(F.sum(named).alias("n"), F.max(named).alias("most"), F.count(named).alias("languages"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.where((F.col("first") != F.col("last")) & (F.col("languages") >= 2) & (F.col("n") - F.col("most") >= LEAST_SPREAD * F.col("n"))).select(*KEY)
+
+
+def filler_paragraphs(found: DataFrame) -> DataFrame:
+    """``key_a, key_b`` of the paragraphs in invented words, each once: nine in ten of their different words (three
+    or more) are met beside "lorem ipsum" in a fifth of the paragraphs that hold them.
+
+    Only paragraphs that begin with a word met beside "lorem ipsum" are looked at word by word."""
+    words = F.expr(r"array_distinct(filter(regexp_extract_all(masked, '\\p{L}+', 0), w -> length(w) > 1))")
+    once = found.select(*KEY, "masked", F.contains(F.col("masked"), F.lit("lorem ipsum")).alias("lorem"), F.regexp_extract("masked", r"\A\P{L}*(\p{L}+)", 1).alias("first"))
+    beside = once.where("lorem").select(*KEY, F.explode(words).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("beside"))
+    # the vocabulary of filler is small; if it isn't, it is joined instead of listed
+    listed = beside.select("word").limit(SET_WORDS + 1).collect()
+    if not listed:
+        near = once.where(F.lit(False))
+    elif len(listed) <= SET_WORDS:
+        near = once.where(F.col("first").isin([r["word"] for r in listed]))
+    else:
+        near = once.join(beside.select(F.col("word").alias("first")), "first", "left_semi")
+    met = near.select(*KEY, F.size(words).alias("different"), F.explode(words).alias("word")).distinct()
+    shares = met.groupBy("word").agg(F.count("*").alias("all")).join(beside, "word").where("beside >= 0.2 * all").select("word")
+    known = met.join(shares, "word").groupBy(*KEY, "different").agg(F.count("*").alias("known"))
+    return known.where("different >= 3 and known >= 0.9 * different").select(*KEY)
+
+
+#: A group may hold a third of all paragraphs: its rows are joined in so many parts.
+SALTS = 16
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    """``key_a, key_b, verdict`` of the groups that other groups' counts decide, once for each verdict."""
+    return widely_recurring(found).withColumn("verdict", F.lit("recurring")).unionByName(filler_paragraphs(found).withColumn("verdict", F.lit("filler")))
 
 
 def message_paragraphs(found: DataFrame) -> DataFrame:
-    """``key, masked, kind, documents, sources, languages`` of the distinct masked paragraphs that are
-    messages or filler. ``found`` comes from :func:`paragraphs`."""
-    # each distinct paragraph once, written: the words, the rules and the verdicts all start from these rows
-    grouped = written(found.sparkSession, (
-        found.groupBy("key", "source", "language").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
-        .groupBy("key").agg(F.sum("n").alias("documents"), F.min("masked").alias("masked"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("language") != "", F.col("language"))).alias("languages"))
-    ))
-    words = F.expr(r"filter(regexp_extract_all(masked, '\\p{L}+', 0), w -> length(w) > 1)")
-    # filler in invented words: words that are met mostly beside "lorem ipsum"
-    listed = grouped.select("key", "masked", F.array_distinct(words).alias("w")).select("key", "masked", F.size("w").alias("different"), F.explode("w").alias("word"))
-    lorem = F.col("masked").contains("lorem ipsum")
-    # the words beside "lorem ipsum" are few; only rows with one of them go on
-    beside = listed.where(lorem).groupBy("word").agg(F.count("*").alias("beside"))
-    met = listed.select("key", "different", "word").join(beside, "word")
-    lexicon = met.groupBy("word").agg(F.max("beside").alias("beside"), F.count("*").alias("all")).where("beside >= 0.2 * all").select("word")
-    known = met.where("different >= 3").join(lexicon, "word")
-    invented = known.groupBy("key", "different").agg(F.count("*").alias("known")).where("known >= 0.9 * different").select("key", F.lit(True).alias("invented"))
+    """``masked, kind, by, documents, sources, languages`` of the groups that are residue: ``by`` names the rule or
+    count that told it. ``found`` comes from :func:`paragraphs`."""
     kind = (
-        F.when(F.col("masked").rlike(MESSAGE), "message").when(F.col("invented"), "filler")
-        .when((F.col("sources") >= 2) & (F.col("languages") >= 2) & ~F.col("masked").rlike("[:：]$") & F.col("masked").rlike(CUES) & ~F.col("masked").rlike(r'["“„«」]'), "recurring")
+        F.when(F.col("by") == "placeholder", "placeholder").when(F.forall(F.split("masked", SENTENCE_END), lambda p: (F.trim(p) == "") | F.trim(p).rlike(_FILLED)), "filler")
+        .when(F.col("verdict") == "filler", "filler").otherwise("message")
+    )
+    verdicts = _verdicts(found).groupBy(*KEY).agg(F.min("verdict").alias("verdict"))
+    groups = (
+        found.groupBy(*KEY, "source", "language").agg(F.count("*").alias("n"), F.min("masked").alias("masked"), F.min("by").alias("by"))
+        .groupBy(*KEY).agg(F.sum("n").alias("documents"), F.min("masked").alias("masked"), F.min("by").alias("by"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("language") != "", F.col("language"))).alias("languages"))
     )
-    return grouped.join(invented, "key", "left").withColumn("kind", kind).where("kind is not null").select("key", "masked", "kind", "documents", "sources", "languages")
+    told = groups.join(verdicts, KEY, "left").where("by is not null or verdict is not null")
+    return told.select("masked", kind.alias("kind"), F.coalesce("by", "verdict").alias("by"), "documents", "sources", "languages")
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """``doc_id`` of each document that carries residue, once.
 
     Null, empty and blank texts have none. Repeated rows give one; rows whose doc_id is null are left out,
-    since they cannot be named. Extra columns are ignored."""
+    since they cannot be named. Extra columns are ignored; an empty table gives no rows."""
     rows = spread(documents.select("doc_id", "text", "lang", "source").where("doc_id is not null and text is not null"), "doc_id")
-    found = written(documents.sparkSession, paragraphs(rows))  # masked once, read for grouping and by key
-    by_message = found.select("doc_id", "key").join(message_paragraphs(found).select("key"), "key", "left_semi").select("doc_id")
-    by_placeholder = rows.where(F.col("text").rlike(PLACEHOLDER)).select("doc_id")
-    return by_message.unionByName(by_placeholder).distinct()
+    found = written(documents.sparkSession, paragraphs(rows))  # masked once; counts, words and verdicts read their columns
+    by_itself = found.where("by is not null").select("doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    verdicts = _verdicts(found).select(*KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    by_count = found.where("by is null").select("doc_id", *KEY, salt.alias("salt")).join(verdicts, [*KEY, "salt"], "left_semi").select("doc_id")
+    return by_itself.unionByName(by_count).distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +210,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct message paragraphs with how often and how widely they recur."""
-    return message_paragraphs(paragraphs(table(spark, sf_dir, "documents").where("doc_id is not null"))).drop("key")
+    found = written(spark, paragraphs(spread(table(spark, sf_dir, "documents").where("doc_id is not null and text is not null"), "doc_id")))
+    return message_paragraphs(found)
 
 
 QUERIES = {"p9_found": p9_found, "p9_messages": p9_messages}
