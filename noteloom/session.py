@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,30 +51,67 @@ def settings(limits: DataFrame) -> dict[str, int]:
     return {r["setting"]: int(r["amount"]) for r in rows.limit(1000).collect() if r["amount"] is not None}
 
 
+#: Folders below the shared one that were written and not yet removed, by application.
+_folders: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set."""
+    Where the session names none, a temporary folder is set on one machine, as in tests; on a cluster that is
+    refused, since executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="noteloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/noteloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/noteloom-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: several computations start from it, and a
-    lost executor repeats none of what came before."""
+    lost executor repeats none of what came before.
+
+    The folder goes at the end of the surrounding :func:`scratch`, with :func:`release`, or with the application."""
     folder = shared_folder(spark)
     df.write.parquet(folder)
+    _path(spark, folder, lambda fs, p: fs.deleteOnExit(p))
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def _path(spark: SparkSession, path: str, use):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return use(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+
+
+def folders_in(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """The entries below ``path`` that fit a glob pattern, on whatever file system they are."""
+    return sorted(status.getPath().toString() for status in _path(spark, f"{path}/{pattern}", lambda fs, p: fs.globStatus(p)) or [])
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`shared_folder` named, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder, on whatever file system it is."""
+    _path(spark, path, lambda fs, p: fs.delete(p, True))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove what :func:`shared_folder` named (from the ``since``-th on); results that read it must be consumed."""
+    listed = _folders.get(spark.sparkContext.applicationId, [])
+    while len(listed) > since:
+        remove_folder(spark, listed.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Everything written to the shared folder within is removed at the end, also after an error."""
+    since = len(_folders.setdefault(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
