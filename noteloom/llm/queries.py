@@ -10,13 +10,7 @@ MODULES = ("terms", "lookalike", "pairs", "sentences", "pii", "mapping", "tokens
 def _gathered(what: str) -> dict:
     found: dict = {}
     for name in MODULES:
-        try:
-            module = importlib.import_module(f"noteloom.llm.{name}")
-        except ModuleNotFoundError as missing:
-            if missing.name != f"noteloom.llm.{name}":
-                raise
-            continue
-        found |= getattr(module, what, {})
+        found |= getattr(importlib.import_module(f"noteloom.llm.{name}"), what, {})
     return found
 
 

@@ -19,7 +19,7 @@ proportion to its length. All are built-in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.session import spread, table, written
@@ -89,7 +89,7 @@ def _numbered(rules: str) -> str:
 
 _RULES = _numbered("|".join(f"(?:{rule})" for rule in (*ERRORS, *SCRIPTS, *FILLER)))
 #: How a message begins: the only test that most paragraphs undergo.
-BEGINS = rf"\A(?:{_RULES})"
+BEGINS = rf"\A(?:(?:[-*•]|0[.)])\s+)?(?:{_RULES})"
 #: A whole sentence of filler, and of any message.
 _FILLED = rf"\A(?:{_numbered('|'.join(f'(?:{rule})' for rule in FILLER))})\z"
 SENTENCE = rf"\A(?:{_RULES})\z"
@@ -98,13 +98,16 @@ BULLET = r"\A(?:[-*•]|0[.)])\s+"
 SHORTENED = r"\b(err|no|nr|ref|art)\."
 #: Where sentences of a message end; between lower-case words the blank may be lacking.
 SENTENCE_END = r"[!?。！？…]+|\.+(?=\s|\z|\p{L}{3,}\s)"
+#: No heading and no quotation; two words, or four letters of a script that writes no blanks.
+NO_HEADING = r'\A[^"“„«»「」]*[^"“„«»「」:：]\z'
+TWO_WORDS = r"\p{L}[^ ]* [^ ]*\p{L}|[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]{4}"
 #: What stands for an unfilled field.
 FIELD_SIGN = "⟦⟧"
 #: Languages other than the most frequent one must have so much of a group that recurs widely.
 LEAST_SPREAD = 0.1
 #: Filler words are looked up as a set up to so many, in a join beyond.
 SET_WORDS = 5_000
-SEPARATOR = r"(?:\r\n|\r|\n)[ \t\u00a0\u3000]*(?:(?:\r\n|\r|\n)[ \t\u00a0\u3000]*)+"
+SEPARATOR = r"(?>\r\n|\r|\n)[ \t\u00a0\u3000]*(?:(?>\r\n|\r|\n)[ \t\u00a0\u3000]*)+"
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
@@ -113,22 +116,30 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     Masking: unfilled fields become a sign, e-mail and web addresses '@', numbers with their separators (so
     dates and times too) '0', blanks are collapsed, case is folded. ``by`` says what tells residue by itself
     ('placeholder', 'phrase'), ``prose`` whether wide recurrence would tell it."""
-    raw = F.col("paragraph")
-    masked = F.regexp_replace(raw, PLACEHOLDER, FIELD_SIGN)
-    masked = F.when(F.contains(masked, F.lit("@")) | F.contains(masked, F.lit("://")) | F.contains(masked, F.lit("www.")), F.regexp_replace(masked, r"(?<!\S)[^\s@]+@\S+|(?:https?://|www\.)\S+", "@")).otherwise(masked)
-    masked = F.regexp_replace(masked, r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0")
-    masked = F.regexp_replace(masked, r"[\t\n\x0B\f\r\u00a0\u3000\u202f][\s\u00a0\u3000\u202f]*|\s{2,}", " ")
-    rows = documents.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.lower(F.regexp_extract("lang", "^([A-Za-z]{2,3})", 1)).alias("language"), F.explode(F.split("text", SEPARATOR)).alias("paragraph")
-    )
-    rows = rows.select("doc_id", "source", "language", F.lower(F.trim(masked)).alias("masked")).where("masked <> ''")
-    bare = F.regexp_replace("masked", BULLET, "")
-    sentences = F.split(F.regexp_replace(bare, SHORTENED, "$1"), SENTENCE_END)
-    phrase = bare.rlike(BEGINS) & F.forall(sentences, lambda p: (F.trim(p) == "") | F.trim(p).rlike(SENTENCE))
-    phrase = phrase | bare.startswith("lorem ipsum")
+    # masked within the generator, so that no filter or later column masks a paragraph a second time
+    whole = F.split("text", SEPARATOR)
+    for step in (_without_fields, _without_addresses, _plain):
+        whole = F.transform(whole, step)
+    whole = F.filter(whole, lambda m: m != "")
+    rows = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.lower(F.regexp_extract("lang", "^([A-Za-z]{2,3})", 1)).alias("language"), F.explode(whole).alias("masked"))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("masked", BULLET, ""), SHORTENED, "$1"), SENTENCE_END)
+    phrase = F.col("masked").startswith("lorem ipsum") | (F.col("masked").rlike(BEGINS) & F.forall(sentences, lambda p: (F.trim(p) == "") | F.trim(p).rlike(SENTENCE)))
     by = F.when(F.contains(F.col("masked"), F.lit(FIELD_SIGN)), "placeholder").when(phrase, "phrase")
-    prose = ~F.col("masked").rlike(r"[:：]\z") & ~F.col("masked").rlike(r'["“„«»「」]') & F.col("masked").rlike(r"\p{L}[^ ]* [^ ]*\p{L}|[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]{4}")
-    return rows.select("*", F.xxhash64("masked").alias("key_a"), F.xxhash64(F.lit("second"), "masked").alias("key_b"), by.alias("by"), prose.alias("prose"))
+    return rows.select("*", F.xxhash64("masked").alias("key_a"), F.xxhash64(F.lit("second"), "masked").alias("key_b"), by.alias("by"), (F.col("masked").rlike(NO_HEADING) & F.col("masked").rlike(TWO_WORDS)).alias("prose"))
+
+
+def _without_fields(text: Column) -> Column:
+    return F.regexp_replace(text, PLACEHOLDER, FIELD_SIGN)
+
+
+def _without_addresses(text: Column) -> Column:
+    some = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    return F.when(some, F.regexp_replace(text, r"(?<!\S)[^\s@]+@\S+|(?:https?://|www\.)\S+", "@")).otherwise(text)
+
+
+def _plain(text: Column) -> Column:
+    text = F.regexp_replace(text, r"\p{N}+(?:[.,:/\-–]\p{N}+)*", "0")
+    return F.lower(F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r\u00a0\u3000\u202f][\s\u00a0\u3000\u202f]*|\s{2,}", " ")))
 
 
 KEY = ["key_a", "key_b"]

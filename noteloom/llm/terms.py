@@ -62,61 +62,72 @@ def suffix_intervals(symbols: np.ndarray, record: np.ndarray, weight: np.ndarray
 
 def gathered(frames: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
     """Join batches into blocks of about ``BLOCK_ROWS`` rows; rows that are alike in ``group`` (and follow
-    each other) stay in one block."""
+    each other) stay in one block.
+
+    While one group fills a block, twice as many rows are awaited before it is looked at again, so the
+    batches of a large group are copied a constant number of times."""
     held: list[pd.DataFrame] = []
-    size = 0
+    size, wanted = 0, BLOCK_ROWS
     for frame in frames:
         held.append(frame)
         size += len(frame)
-        if size < BLOCK_ROWS:
+        if size < wanted:
             continue
         block = pd.concat(held, ignore_index=True)
-        cut = size
-        if group:
-            last = block.iloc[-1]
-            alike = np.logical_and.reduce([(block[c] == last[c]).to_numpy() for c in group])
-            cut = size - int(alike[::-1].argmin() if not alike.all() else size)
+        last = block.iloc[-1]
+        alike = np.logical_and.reduce([(block[c] == last[c]).to_numpy() for c in group])
+        cut = size - int(alike[::-1].argmin() if not alike.all() else size)
         if cut:
             yield block.iloc[:cut].reset_index(drop=True)
         held = [block.iloc[cut:]] if cut < size else []
         size -= cut
+        wanted = max(BLOCK_ROWS, 2 * size)
     if size:
         yield pd.concat(held, ignore_index=True)
 
 
+#: A record's occurrences of one phrase come in so many counted parts at most, however many they are.
+PARTS = 8
+
+
 def whole_phrase_counts(mentions: DataFrame) -> DataFrame:
     """``language, folded, occurrence_count, document_frequency`` of every stored phrase.
 
-    A phrase is one symbol, and its mention one record suffix that begins and ends with the phrase.
-    ``mentions`` needs ``mention_id, doc_id, language, folded``. A mention counts once however often its
-    row is repeated; a null mention_id is a mention of its own kind per document and phrase. Null
-    languages or phrases are values of their own; a null doc_id adds occurrences but no document. An
-    empty table gives no rows; extra columns are ignored."""
+    A phrase is one symbol, and a mention of it a suffix of its document that begins and ends with it. A
+    document's mentions of a phrase stay apart (in up to ``PARTS`` parts with their counts, so that one
+    phrase of one document can't fill a block); they are neighbours in the suffix array, and the
+    interval's size less these adjacencies is the number of documents. ``mentions`` needs ``mention_id, doc_id, language, folded``. A mention
+    counts once however often its row is repeated; a null mention_id is a mention of its own kind per document and
+    phrase. Null languages or phrases are values of their own; a null doc_id adds occurrences but no
+    document. Ids of any type and size are compared as they are. An empty table gives no rows; extra columns are
+    ignored."""
     ship(mentions.sparkSession)
-    # one row for each document and phrase, combined before the shuffle; the count is exact and distinct
-    rows = mentions.groupBy("language", "folded", "doc_id").agg(
-        (F.count_distinct("mention_id") + F.max(F.col("mention_id").isNull().cast("int"))).cast("long").alias("n")
-    )
+    kind = dict(mentions.dtypes)["doc_id"]
+    known = F.col("doc_id").isNotNull()
+    # pandas has no null integers: unknown documents are a flag, and their id some fixed value
+    document = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id")
+    part = F.coalesce(F.pmod(F.xxhash64("mention_id"), F.lit(PARTS)), F.lit(0)).cast("int").alias("part")
+    once = mentions.select("language", "folded", document, known.alias("known"), part, "mention_id").distinct()
+    counted = once.groupBy("language", "folded", "doc_id", "known", "part").agg(F.count("*").cast("int").alias("n"))
+    group = ["key", "known", "doc_id"]
+    # the hash only keeps equal rows together; phrases are compared as they are
+    rows = counted.withColumn("key", F.xxhash64("language", "folded")).drop("part").repartition(*group).sortWithinPartitions(*group)
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows differ in (language, folded, doc_id), so any cut of a partition into blocks adds up
-        for frame in gathered(frames, []):
-            yield from count_block(frame)
+        for frame in gathered(frames, group):
+            for of_known in (True, False):
+                yield from count_block(frame[frame["known"] == of_known], of_known)
 
-    def count_block(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def count_block(frame: pd.DataFrame, of_known: bool) -> Iterator[pd.DataFrame]:
         if frame.empty:
             return
         language = frame["language"].to_numpy(dtype=object)
         folded = frame["folded"].to_numpy(dtype=object)
         keys = pd.MultiIndex.from_arrays([pd.factorize(language, use_na_sentinel=False)[0], pd.factorize(folded, use_na_sentinel=False)[0]])
         symbol = pd.factorize(keys)[0].astype(np.int64)
-        document = pd.to_numeric(frame["doc_id"]).fillna(-(1 << 62)).to_numpy(dtype=np.int64)
-        unknown = frame["doc_id"].isna().to_numpy()
-        for _, at, occurrences, records in suffix_intervals(symbol[:, None], document, frame["n"].to_numpy(), range(1, 2)):
-            if unknown.any():
-                without = np.unique(symbol[unknown])
-                records = records - np.isin(symbol[at], without)
-            yield pd.DataFrame({"language": language[at], "folded": folded[at], "o": occurrences, "d": records})
+        record = pd.factorize(frame["doc_id"])[0]
+        for _, at, occurrences, records in suffix_intervals(symbol[:, None], record, frame["n"].to_numpy(), range(1, 2)):
+            yield pd.DataFrame({"language": language[at], "folded": folded[at], "o": occurrences, "d": records if of_known else 0 * records})
 
     partial = rows.mapInPandas(blocks, "language string, folded string, o long, d long")
     return partial.groupBy("language", "folded").agg(F.sum("o").alias("occurrence_count"), F.sum("d").alias("document_frequency"))
@@ -125,15 +136,16 @@ def whole_phrase_counts(mentions: DataFrame) -> DataFrame:
 def ngram_counts(records: DataFrame, id_column: str, tokens_column: str, max_n: int) -> DataFrame:
     """``ngram (array<string>), n, occurrence_count, document_frequency`` of all n-grams of 1..max_n tokens.
 
-    ``tokens_column`` is array<string>; n-grams don't cross rows, and rows with the same id are one record.
-    Null or empty arrays and null ids give no n-grams; null tokens end an n-gram."""
+    ``tokens_column`` is array<string>; n-grams don't cross rows, and rows with the same id (cast to bigint) are one
+    record. Null or empty arrays and null ids give no n-grams; null tokens end an n-gram."""
     ship(records.sparkSession)
     suffixes = (
         records.where(F.col(id_column).isNotNull())
         .select(F.col(id_column).cast("long").alias("record"), F.col(tokens_column).alias("t"))
-        .select("record", F.posexplode("t").alias("at", "lead"), "t")
+        .where(F.size("t") > 0)
+        .select("record", F.explode(F.expr(f"transform(sequence(1, size(t)), at -> slice(t, at, {max_n}))")).alias("suffix"))
+        .select("record", F.col("suffix")[0].alias("lead"), "suffix")
         .where("lead is not null")
-        .select("record", "lead", F.expr(f"slice(t, at + 1, {max_n})").alias("suffix"))
     )
     # equal suffixes of a record are joined before the shuffle; hot records and hot symbols are both split
     rows = suffixes.groupBy("record", "lead", "suffix").agg(F.count("*").alias("n"))
@@ -185,14 +197,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark is not null").select("language", "folded", "mark")
 
 
+#: Where n-grams of notes end: at blank lines and before list items; other line breaks are blanks.
+STRETCH = r"\n(?:[ \t]*\n)+|\n(?=[ \t]*(?:[-*•]|\p{N}+[.)])[ \t])"
+
+
 def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All n-grams of the notes, in lower case, within a line of a text, with both counts and their mark."""
+    """All n-grams of the notes, in lower case, within a paragraph or list item, with both counts and their mark."""
     limits = settings(table(spark, sf_dir, "analysis_limits"))
     documents = table(spark, sf_dir, "documents")
-    lines = spread(documents.select("doc_id", "text"), "doc_id").select(
-        "doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("line")
-    )
-    tokens = lines.select("doc_id", F.regexp_extract_all(F.lower(F.translate("line", "Σ", "σ")), F.lit(r"[\p{L}\p{N}]+(?:[./+\-][\p{L}\p{N}]+)*\+?"), F.lit(0)).alias("tokens"))
+    text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    stretches = spread(documents.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.split(text, STRETCH)).alias("stretch"))
+    tokens = stretches.select("doc_id", F.regexp_extract_all(F.lower(F.translate("stretch", "Σ", "σ")), F.lit(r"[\p{L}\p{N}]+(?:[./+\-][\p{L}\p{N}]+)*\+?"), F.lit(0)).alias("tokens"))
     counts = ngram_counts(tokens, "doc_id", "tokens", limits["max_ngram_tokens"])
     marked = mark_terms(counts, documents.count(), limits["min_document_frequency"], limits["max_document_permille"])
     return marked.select(F.concat_ws(" ", "ngram").alias("term"), "n", "occurrence_count", "document_frequency", "mark")
@@ -210,7 +225,8 @@ ORACLE = {
                case when document_frequency < lo then 'rare' when document_frequency * 1000 > hi * docs then 'common' end as mark
         from c, l, n""",
     "p1_ngrams": """
-        with lines as (select doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) as line from documents),
+        with flat as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from documents),
+             lines as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\n(?:[ \\t]*\\n)+', chr(2), 'g'), '\\n([ \\t]*(?:[-*•]|\\p{N}+[.)])[ \\t])', chr(2) || '\\1', 'g'), chr(2))) as line from flat),
              toks as (select doc_id, regexp_extract_all(lower(replace(line, 'Σ', 'σ')), '[\\p{L}\\p{N}]+(?:[./+\\-][\\p{L}\\p{N}]+)*\\+?') as t from lines),
              grams as (select doc_id, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) as term
                        from toks, range(1, 1 + (select max(amount) from analysis_limits where setting = 'max_ngram_tokens')) r(n) where len(t) >= n),

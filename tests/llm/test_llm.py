@@ -46,6 +46,23 @@ def test_phrases_with_nulls_repeats_and_a_hot_value(spark):
     assert terms.whole_phrase_counts(df.limit(0)).count() == 0
 
 
+def test_large_ids_beside_null_ids_and_one_hot_phrase_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BLOCK_ROWS", 50)
+    rows = [(1, 2**53, "a"), (2, 2**53 + 1, "a"), (3, None, "a")] + [(10 + i, 7, "hot") for i in range(2_000)] + [(10, 7, "hot")] * 20 + [(9_000 + i, i, f"p{i % 60}") for i in range(300)]
+    df = spark.createDataFrame(rows, "mention_id long, doc_id long, folded string").selectExpr("*", "'en' as language")
+    got = {r["folded"]: (r["occurrence_count"], r["document_frequency"]) for r in terms.whole_phrase_counts(df).collect()}
+    assert got["a"] == (3, 2) and got["hot"] == (2_000, 1) and all(got[f"p{i}"] == (5, 5) for i in range(60))
+    named = df.selectExpr("mention_id", "concat('d', doc_id) as doc_id", "folded", "language")
+    assert {r["folded"]: r["document_frequency"] for r in terms.whole_phrase_counts(named).collect()}["a"] == 2
+
+
+def test_adjacencies_of_a_document_are_subtracted():
+    import numpy as np
+
+    found = list(terms.suffix_intervals(np.array([[0], [0], [1], [0]]), np.array([5, 5, 5, 6]), np.array([1, 2, 1, 1]), range(1, 2)))
+    assert [(list(o), list(d)) for _, _, o, d in found] == [([4, 1], [2, 1])]
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -73,24 +90,41 @@ def test_accents_that_no_letter_takes(spark):
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
-def test_pair_table_by_increments_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [6, None])
+def test_pair_table_by_increments_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pairs, "BLOCK_ITEMS", 3)
     rng = random.Random(2)
     rows = [(rng.randrange(12), f"c{rng.randrange(9)}") for _ in range(90)] + [(50, f"c{i}") for i in range(9)] + [(None, "c1"), (1, None)]
     frame = lambda part: spark.createDataFrame(part, "record long, item string")
-    state = pairs.PairState()
-    for part in (rows[:30], rows[30:31], [], rows[20:]):
-        before, state = state, pairs.apply_rows(spark, state, frame(part), 6)
-    baskets = {}
-    for r, i in rows:
-        if r is not None and i is not None:
+    state, kept, scores = pairs.PairState.empty(4), set(), None
+    steps = [(rows[:30], []), (rows[30:31], []), ([], []), (rows[20:], rows[:3]), ([], rows[5:25] + [(50, f"c{i}") for i in range(4)] + [(77, "c1")])]
+    for plus, minus in steps:
+        before, state = state, pairs.apply_rows(spark, state, frame(plus), most, frame(minus) if minus else None)
+        kept = {x for x in kept | set(plus) if None not in x} - set(minus)
+        baskets = {}
+        for r, i in kept:
             baskets.setdefault(r, set()).add(i)
-    expected = Counter((a, b) for s in baskets.values() if len(s) <= 6 for a in s for b in s if a < b)
-    scored = pairs.associations(spark, state, 20, 1).collect()
-    assert {(r["item_a"], r["item_b"]): r["shared"] for r in scored} == expected
-    marginals = Counter(i for s in baskets.values() for i in s)
-    assert all(r["records_a"] == marginals[r["item_a"]] for r in scored)
-    changed = {(r["item_a"], r["item_b"]): r["npmi"] for r in pairs.associations(spark, state, 20, 1, changed_since=before).collect()}
-    assert all(changed[(r["item_a"], r["item_b"])] == r["npmi"] for r in scored if (r["item_a"], r["item_b"]) in changed)
+        expected = Counter((a, b) for s in baskets.values() if most is None or len(s) <= most for a in s for b in s if a < b)
+        scored = pairs.associations(spark, state, 20, 1).collect()
+        assert {(r["item_a"], r["item_b"]): r["shared"] for r in scored} == expected
+        marginals = Counter(i for s in baskets.values() for i in s)
+        assert all((r["records_a"], r["records_b"]) == (marginals[r["item_a"]], marginals[r["item_b"]]) for r in scored)
+        if scores is not None:
+            assert sorted(map(str, pairs.rescored(spark, scores, state, 20, 1).collect())) == sorted(map(str, scored))
+        scores = spark.createDataFrame(scored, "item_a string, item_b string, shared long, records_a long, records_b long, npmi double")
+    assert {r["record"] for r in pairs.skipped_baskets(spark, state, 6).collect()} == {r for r, s in baskets.items() if len(s) > 6}
+
+
+def test_only_changed_buckets_are_written(spark):
+    frame = lambda part: spark.createDataFrame(part, "record long, item string")
+    first = pairs.apply_rows(spark, pairs.PairState.empty(16), frame([(r, f"c{(r * 7 + k) % 40}") for r in range(60) for k in range(3)]), 10)
+    second = pairs.apply_rows(spark, first, frame([(3, "c21"), (3, "new")]), 10)
+    changed = {name: sum(a != b for a, b in zip(getattr(first, name), getattr(second, name))) for name in ("baskets", "marginals", "pairs")}
+    assert changed["baskets"] == 1 and 1 <= changed["marginals"] <= 2 and 1 <= changed["pairs"] <= 4
+    third = pairs.apply_rows(spark, second, frame([(3, "new")]), 10)
+    assert third.pairs == second.pairs and third.marginals == second.marginals
+    pairs.forget(spark, first, third)
+    assert pairs.associations(spark, third, 60, 1).where("item_a = 'c21' and item_b = 'new'").count() == 1
 
 
 # --- 4 -------------------------------------------------------------------------------------------------------------
