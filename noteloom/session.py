@@ -114,6 +114,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+#: A key that more than one in so many rows hold is hot, so there are at most so many hot keys.
+HOT_SHARE = 1_000
+#: Tasks that a hot key's rows are dealt to.
+HOT_PARTS = 16
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Join ``left`` with ``right``, which has each key once and in ``rows`` how many rows of ``left`` hold it
+    (about: the count only steers the work). Null keys are equal to each other; ``right``'s keys are dropped.
+
+    Rows of hot keys are dealt to several tasks, and only those keys' rows of ``right`` are repeated for
+    them. The driver sees at most ``HOT_SHARE`` hashes."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    key = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    hot = [r[0] for r in right.where(F.col(rows) > total / HOT_SHARE).select(key).limit(HOT_SHARE).collect()]
+    is_hot = key.isin(hot) if hot else F.lit(False)
+    a = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(HOT_PARTS))).otherwise(0).cast("bigint"))
+    parts = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_PARTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    b = right.drop(rows).withColumn("_parts", F.explode(parts)).withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return a.join(b, [F.col("_part") == F.col("_parts"), *met], how).drop("_part", "_parts", *[f"_{k}" for k in keys])
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Repartition by ``keys`` where the input has fewer partitions than the cluster can use.
 
