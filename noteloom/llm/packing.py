@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm.tokens import encode_documents
-from noteloom.session import settings, table
+from noteloom.session import settings, table, written
 
 #: Notes in a packing group: the bound of what one task holds.
 GROUP_ITEMS = 20_000
@@ -72,33 +72,36 @@ def pack_documents(sized: DataFrame, capacity: int, items: int, id_column: str =
     ``items`` is the number of rows of ``sized`` and only sets the number of groups. Rows larger than
     ``capacity`` are cut into full pieces and a rest, others stay whole. A row of no tokens is kept with
     a null container, since it needs no room; a null size counts as 0. Repeated ids are packed as often
-    as they are given (rows that are alike get one place each). Extra columns are ignored."""
+    as they are given (rows that are alike get one place each). Rows that are alike are told apart by a number, so
+    copies of an id, or null ids, are dealt to all groups and every container has the same name in each run. Extra
+    columns are ignored; an empty table gives no rows."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     kind = dict(sized.dtypes)[id_column]
     groups = max(1, math.ceil(items / GROUP_ITEMS))
     rows = sized.select(F.col(id_column).alias("id"), F.coalesce(F.col(size_column), F.lit(0)).cast("int").alias("size"))
-    pieces = rows.withColumn("full", F.floor(F.col("size") / capacity).cast("int"))
+    numbered = rows.groupBy("id", "size").agg(F.count("*").alias("copies")).select("id", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    pieces = numbered.withColumn("full", F.floor(F.col("size") / capacity).cast("int"))
     full = (
         pieces.where("full > 0")
-        .select("id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
+        .select("id", "size", "copy", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
         .select(
-            F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("-"), F.col("piece").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("container_id"),
+            F.concat_ws("-", F.lit("f"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "size", "copy", "piece").alias("container_id"),
             "id", "piece", (F.col("piece") * capacity).alias("start_token"), F.lit(capacity).alias("n_tokens"),
         )
     )
-    rest = pieces.select("id", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start_token"), (F.col("size") - F.col("full") * capacity).alias("n_tokens"))
+    rest = pieces.select("id", "copy", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start_token"), (F.col("size") - F.col("full") * capacity).alias("n_tokens"))
     empty = rest.where("n_tokens = 0 and piece = 0").select(F.lit(None).cast("string").alias("container_id"), "id", "piece", "start_token", "n_tokens")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "id"], ascending=[False, True], kind="stable")
+        frame = frame.sort_values(["n_tokens", "id", "copy"], ascending=[False, True, True], kind="stable")
         boxes = best_fit_decreasing(frame["n_tokens"].tolist(), capacity)
         group = int(frame["packing_group"].iloc[0])
         return frame.assign(container_id=[f"g{group}-{box}" for box in boxes])[["container_id", "id", "piece", "start_token", "n_tokens"]]
 
     packed = (
         rest.where("n_tokens > 0")
-        .withColumn("packing_group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+        .withColumn("packing_group", F.pmod(F.xxhash64("id", "copy", "n_tokens"), F.lit(groups)).cast("int"))
         .groupBy("packing_group")
         .applyInPandas(pack, f"container_id string, id {kind}, piece int, start_token int, n_tokens int")
     )
@@ -106,14 +109,10 @@ def pack_documents(sized: DataFrame, capacity: int, items: int, id_column: str =
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from noteloom.session import shared_folder
-
     documents = table(spark, sf_dir, "documents")
     capacity = settings(table(spark, sf_dir, "analysis_limits"))["capacity_tokens"]
     # the sizes feed three branches; they are written once (two numbers a note) instead of encoded three times
-    sizes = shared_folder(spark)
-    encode_documents(documents, ids=False).write.parquet(sizes)
-    sized = spark.read.parquet(sizes)
+    sized = written(spark, encode_documents(documents, ids=False))
     return pack_documents(sized, capacity, documents.count())
 
 

@@ -190,16 +190,17 @@ def associations(spark: SparkSession, state: PairState, records: int, min_shared
 
 def affected_pairs(spark: SparkSession, state: PairState) -> list[DataFrame]:
     """What the rows that made this version changed: pairs, and items as either side of a pair."""
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{state.deltas}/{name}")
-    items = read("marginals", "item string").distinct()
-    return [read("pairs", "item_a string, item_b string"), items.withColumnRenamed("item", "item_a"), items.withColumnRenamed("item", "item_b")]
+    read = lambda name, *keys: spark.read.schema(", ".join(f"{k} string" for k in keys)).parquet(f"{state.deltas}/{name}").select(*keys)
+    items = read("marginals", "item").distinct()
+    return [read("pairs", "item_a", "item_b"), items.withColumnRenamed("item", "item_a"), items.withColumnRenamed("item", "item_b")]
 
 
 def rescored(spark: SparkSession, scores: DataFrame, state: PairState, records: int, min_shared: int) -> DataFrame:
     """The scores of a new version from those of the version before it: affected pairs are scored again (and go if
     they are too few now), all others stay."""
+    names = scores.columns
     for changed in affected_pairs(spark, state):
-        scores = scores.join(changed, list(changed.columns), "left_anti")
+        scores = scores.join(changed, list(changed.columns), "left_anti").select(*names)
     return scores.unionByName(associations(spark, state, records, min_shared, affected_only=True))
 
 

@@ -10,6 +10,7 @@ repeat, so each Python worker keeps a bounded table of pieces it has met.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,15 +94,17 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-_kept: dict[int, dict[str, list[int]]] = {}
+#: Pieces by vocabulary (the hash of its file).
+_kept: dict[str, dict[str, list[int]]] = {}
 
 
-def encode(text: str | None, ranks: dict[bytes, int], pattern) -> list[int]:
-    """The ids of a text; null and empty texts have none. Special tokens have no meaning here."""
+def encode(text: str | None, ranks: dict[bytes, int], pattern, kept: dict[str, list[int]] | None = None) -> list[int]:
+    """The ids of a text; null and empty texts have none. Special tokens have no meaning here. ``kept`` remembers
+    the pieces of this vocabulary."""
     ids: list[int] = []
     if not text:
         return ids
-    kept = _kept.setdefault(id(ranks), {})
+    kept = {} if kept is None else kept
     for piece in pattern.findall(text):
         found = kept.get(piece)
         if found is None:
@@ -126,16 +129,20 @@ def encode_documents(
     import regex
 
     spark = documents.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(path or vocabulary_path()))
+    path = path or vocabulary_path()
+    ranks = spark.sparkContext.broadcast(load_ranks(path))
+    with open(path, "rb") as source:
+        vocabulary = hashlib.file_digest(source, "sha256").hexdigest()
     pattern_text = PATTERN
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, table_of_ranks = regex.compile(pattern_text), ranks.value
+        kept = _kept.setdefault(vocabulary, {})
         for batch in stream:
             # a batch may hold very long texts: the result leaves in slices
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [encode(t, table_of_ranks, pattern) for t in part.column(1).to_pylist()]
+                found = [encode(t, table_of_ranks, pattern, kept) for t in part.column(1).to_pylist()]
                 sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
                 if ids:
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
