@@ -199,6 +199,37 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {1: "Call [PHONE] now", 2: None, 3: "a" * 100_000} and pii.find_personal_information(df, lexicon).count() == 1
 
 
+def test_items_of_any_length_and_in_linear_time():
+    import time
+
+    finder = pii.Finder(["Batask", "张伟"])
+    local = "a" * 3_000
+    cases = {
+        f"Sent to {local}@mail.example.org today": [("email", f"{local}@mail.example.org")], "jo dot ann [at] post [dot] example dot com": [("email", "jo dot ann [at] post [dot] example dot com")],
+        "292 447 0142": [("identity_number", "292 447 0142")], "292 555 0142": [("identity_number", "292 555 0142")], "Tel: 292 555 0142": [("phone", "292 555 0142")], "SSN 123 45 6789": [("identity_number", "123 45 6789")],
+        "Account DE89 3704 0044 0532 0130 00 given": [("identity_number", "DE89 3704 0044 0532 0130 00")], "Account DE89 3704 0044 0532 0130 01 given": [], "card 4111 1111 1111 1111": [("identity_number", "4111 1111 1111 1111")],
+        "card 4111 1111 1111 1112": [], "видел Иван Петров вчера": [("name", "Иван Петров")], "вул. Ленина 12": [("street_address", "вул. Ленина 12")], "山田太郎さんが来た": [("name", "山田太郎")], "患者さんは安静": [],
+        "住在北京市朝阳区建国路88号": [("street_address", "北京市朝阳区建国路88号")], "東京都新宿区西新宿2-8-1": [("street_address", "東京都新宿区西新宿2-8-1")], "MRN" + " " * 500 + "1234567": [("identity_number", "1234567")],
+    }
+    for text, expected in cases.items():
+        assert [(k, text[a:b]) for k, a, b in finder.find(text)] == expected, text
+    began = time.time()
+    for text in ("(" * 60_000, "at " * 20_000, "1 " * 30_000, "A" * 60_000, "a@" * 30_000, "mr " * 20_000, "street " * 9_000, "Batask " * 9_000, "tel " * 15_000, "张伟" * 30_000, "a." * 30_000):
+        finder.find(text)
+    assert time.time() - began < 30
+
+
+def test_a_lexicon_beyond_the_bound_is_joined(spark, monkeypatch):
+    names = ["Batask", "Lénuths", "张伟", "van Orlen", "Иванова"]
+    texts = ["Seen by Batask today", "wrote to Lenuths-Batask", "患者张伟来诊", "met van Orlen", "Иванова звонила", "nothing", None, "", "Mrs. Xylon left", "Seen by Batask today"]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "record_kind string, record_id long, text string")
+    lexicon = spark.createDataFrame([(n,) for n in names + [None]], "name string")
+    found = lambda: sorted(map(str, pii.find_personal_information(df, lexicon).collect()))
+    few = found()
+    monkeypatch.setattr(pii, "MAX_LEXICON", 2)
+    assert found() == few and len(few) >= 6
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 
