@@ -1,12 +1,13 @@
 """Problem 4: sentence units of notes in any of their languages.
 
 The layout decides first: blank lines, headings and list items. Within a stretch of running text,
-enclosures (quotations, brackets) are matched, and every end mark outside them is a candidate boundary.
-Most marks are decided by the text alone; a full stop before a capital, digit, opening mark or caseless
-letter is not, and is classified by a maximum-entropy model over its neighbouring tokens, their case,
-length, digits and script. The model is trained on reliable boundaries of the same corpus: full stops
-before lower case and after titles or reference words (no boundary), at the ends of paragraphs and after
-plain words (boundary). Training takes a bounded sample; classification runs over every candidate.
+enclosures (quotations, brackets) are matched, and every end mark outside them that may end a unit is a candidate boundary: full
+stops, question and exclamation marks, ellipses, the marks of other scripts, closing quotations with an end mark
+in them, Thai blanks. A maximum-entropy model classifies each of them by its mark, its neighbouring tokens, their case,
+length, digits and script. The model is trained on reliable boundaries of the same corpus: marks at
+the ends of stretches and after plain words (boundary), before lower case or a comma and after titles or reference
+words (no boundary). Training takes a bounded sample; classification runs over every candidate, in time that
+grows with the text's length.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from noteloom.session import spread, table
 
-#: Labelled candidates that the model is fitted on at most (those of least hash).
-TRAINING_ROWS = 20_000
+#: Different labelled candidates that the model is fitted on at most (the most frequent ones).
+TRAINING_ROWS = 30_000
 #: Documents whose candidates are looked at for training at most (those of least hash).
 TRAINING_DOCUMENTS = 4_000
 
@@ -63,6 +65,7 @@ _RUN = re.compile(rf"[{END_MARKS}]+")
 _OPENING = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“": "”", "„": "“", "«": "»", "‚": "‘", "《": "》", "【": "】"}
 _MARK = re.compile(r"[()（）\[\]「」『』“”„«»\"《》【】]")
 CLOSERS = ")]）」』”»\"’'》】“"
+_BLANK = re.compile(r"\s*")
 _LINE = re.compile(r"\r\n|\r|\n")
 _ITEM = re.compile(r"[ \t\u00a0\u3000]*(?:[-*•‣◦·–]|\d{1,3}[.)])[ \t\u00a0]+(?=\S)")
 _THAI = re.compile(r"(?<=[฀-๿])[\u200b-\u200f\u2060\ufeff\u00ad]*(\s+)[\u200b-\u200f\u2060\ufeff\u00ad]*(?=[ก-ฺเ-๎])")
@@ -100,7 +103,10 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
     raw = before[-1] if before else ""
     word = raw.strip(_STRIP).lower()
     earlier = re.split(r"['’]", before[-2].strip(_STRIP + ",:;").lower())[-1] if len(before) > 1 else ""
-    after = text[at + 1 : min(end, at + 60)].lstrip()
+    begin = at + 1
+    while begin < end and text[begin].isspace():
+        begin += 1
+    after = text[begin : min(end, begin + 60)]
     following = after.split(None, 1)[0] if after else ""
     bare = following.lstrip(_STRIP).rstrip(".,;:!?…)”»\"")
     case = word_case(bare) if following and following[0] not in _STRIP else "open"
@@ -112,9 +118,9 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
     nxt = bare.lower()
     lettered = single and original.isupper()
     features = [
-        "bias", f"w={word}" if not digits else "w=#", f"len={min(len(word), 6)}", f"shape={shape}", f"kind={kind}", f"case={case}", f"n={nxt if case != 'digit' else '#'}", f"script={script(word[-1]) if word else ''}>{script(bare[0]) if bare else ''}",
+        "bias", "m=.", f"w={word}" if not digits else "w=#", f"len={min(len(word), 6)}", f"shape={shape}", f"kind={kind}", f"case={case}", f"n={nxt if case != 'digit' else '#'}", f"script={script(word[-1]) if word else ''}>{script(bare[0]) if bare else ''}",
         f"kind+case={kind}+{case}", f"shape+case={shape}+{case}", f"before+shape={earlier if shape in ('digit', 'single') else ''}+{shape}", f"digit+n={nxt if digits else ''}", f"up={original[:1].isupper()}+{shape}",
-        f"lettered={lettered and (earlier.rstrip('.') in LETTERED or (original in 'IVX' and before[-2:-1] != [] and before[-2][:1].islower() and earlier not in BEFORE_NAME))}", f"initial={lettered and bool(re.match(r'[A-ZÀ-Þ]', bare))}", f"n1={len(bare) == 1 and following.endswith('.')}",
+        f"lettered={lettered and (earlier.rstrip('.') in LETTERED or (original in 'IVX' and before[-2:-1] != [] and before[-2][:1].islower() and earlier not in BEFORE_NAME))}", f"initial={lettered and bool(re.match(r'[A-ZÀ-Þ]', bare))}", f"n1={len(bare) == 1 and following.endswith('.')}", f"m+case=.+{case}",
     ]
     label: int | None = None
     if not following:
@@ -144,20 +150,57 @@ def candidate_features(text: str, at: int, start: int, end: int) -> tuple[list[s
     return features, label
 
 
+FEATURES = 18
+_WORD = re.compile(r"\S+")
+
+
+def mark_features(text: str, kind: str, a: int, cut: int, end: int) -> tuple[list[str], int]:
+    """Features of any other candidate (``kind``: what mark it is, at ``a``; the unit would end at ``cut``), and its label."""
+    at = cut
+    while at < end and text[at].isspace():
+        at += 1
+    word = m.group() if (m := _WORD.match(text, at, min(end, at + 60))) else ""
+    first, spaced = word[:1], at > cut or not word
+    case = word_case(word) if first not in _STRIP else "open"
+    opening = first in "\"“„«‚(（[「『¿¡《【" and first != ""
+    comma = first in ",;:—–-、，；：.!?…" and first != ""
+    letter = next((c for c in reversed(text[max(0, a - 40) : a]) if c.isalpha()), "")
+    if kind == ";":
+        label = script(letter) == "GREEK" and spaced and case != "lower"
+    elif kind == "…":
+        label = case == "upper" or opening
+    elif kind == "。":
+        label = not comma and case != "lower"
+    elif kind == "!":
+        label = not comma and case != "lower" and (spaced or script(first) in ("CJK", "HIRAGANA", "KATAKANA") or opening)
+    elif kind == "close":
+        label = not word or (not comma and case != "lower")
+    else:  # danda, Thai blank
+        label = True
+    around = f"{script(letter)}>{script(first)}"
+    features = [
+        "bias", f"m={kind}", f"m+case={kind}+{case}", f"m+spaced={kind}+{spaced}", f"m+comma={kind}+{comma}", f"m+open={kind}+{opening}", f"m+both={kind}+{case}+{spaced}+{comma}", f"m+script={kind}+{script(letter)}",
+        f"m+around={kind}+{around}+{spaced}", f"m+all={kind}+{script(letter)}+{case}+{spaced}+{comma}+{opening}",
+    ]
+    return features + [f"none{i}" for i in range(FEATURES - len(features))], int(label)
+
+
 def enclosures(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost matched pairs of quotation marks and brackets of a stretch, as (opening, closing)."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # where on the stack each closing mark is awaited
     pairs: list[tuple[int, int]] = []
     for m in _MARK.finditer(text, start, end):
         ch, at = m.group(), m.start()
-        hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-        if hit is not None:
+        if waiting.get(ch):
+            hit = waiting[ch][-1]
             pairs.append((stack[hit][1], at))
-            del stack[hit:]
-        elif ch == '"':
-            stack.append(('"', at))
-        elif ch in _OPENING:
-            stack.append((_OPENING[ch], at))
+            while len(stack) > hit:
+                waiting[stack.pop()[0]].pop()
+        elif ch == '"' or ch in _OPENING:
+            closing = _OPENING.get(ch, '"')
+            waiting.setdefault(closing, []).append(len(stack))
+            stack.append((closing, at))
     outer: list[tuple[int, int]] = []
     for pair in sorted(pairs):
         if not outer or pair[0] > outer[-1][1]:
@@ -222,15 +265,19 @@ class Splitter:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
-    def final(self, text: str, at: int, start: int, end: int) -> bool:
-        features, _ = candidate_features(text, at, start, end)
+    def final(self, features: list[str], label: int | None) -> bool:
+        """The model's verdict; without a model (no text to train on) that of the label."""
+        if not self.weights:
+            return bool(label)
         return sum(self.weights.get(f, 0.0) for f in features) > 0
 
     def boundaries(self, text: str, start: int, end: int, first: int, ask=None) -> list[int]:
-        """Where units end within a stretch. ``ask`` decides the open full stops (the model by default)."""
+        """Where units end within a stretch. ``ask`` decides each candidate (the model by default)."""
         ask = ask or self.final
         pairs = enclosures(text, first, end)
         opens = [p[0] for p in pairs]
+        # German quotations open low and close with the mark that opens English ones
+        low, high = ([m.start() for m in re.finditer(ch, text[start:end])] for ch in "„“")
         events = [(m.start(), m.end(), None) for m in _RUN.finditer(text, first, end)] + [(p[1], p[1] + 1, p) for p in pairs]
         events += [(m.start(1), m.start(1), "thai") for m in _THAI.finditer(text, first, end)]
         cuts: list[int] = []
@@ -238,65 +285,60 @@ class Splitter:
         for a, b, what in sorted(events, key=lambda e: (e[0], e[1])):
             if a < unit:
                 continue
-            if what == "thai":
+            if what is None or what == "thai":
                 inside = bisect.bisect_right(opens, a) - 1
-                if inside < 0 or pairs[inside][1] < a:
-                    cuts.append(a)
-                    unit = a
-                continue
-            if what is not None:  # an enclosure closes
-                inner = text[what[0] + 1 : what[1]].rstrip(CLOSERS + " \u00a0\u202f")
-                if text[unit : what[0]].strip() or not inner or inner[-1] not in END_MARKS.replace(";", ""):
+                if inside >= 0 and pairs[inside][1] > a - (what == "thai"):
+                    continue
+            if what == "thai":
+                kind, cut = "thai", a
+            elif what is not None:  # an enclosure closes
+                inner = b - 2
+                while inner > what[0] and (text[inner] in CLOSERS or text[inner] in " \u00a0\u202f"):
+                    inner -= 1
+                before = unit < what[0] and _BLANK.match(text, unit, what[0]).end() < what[0]
+                if before or inner <= what[0] or text[inner] not in END_MARKS or text[inner] == ";":
                     continue
-                cut = b
+                kind, cut = "close", b
                 while cut < end and text[cut] in CLOSERS and text[cut] not in "“‘\"'":
                     cut += 1
-                rest = text[cut:end].lstrip()
-                if not rest or (rest[0] not in ",;:—–-.!?…、，；：" and word_case(rest) != "lower" and not (rest[0] in "…")):
-                    cuts.append(cut)
-                    unit = cut
-                continue
-            inside = bisect.bisect_right(opens, a) - 1
-            if inside >= 0 and pairs[inside][1] > a:
-                continue
-            cut = self.mark(text, start, end, a, b, ask)
-            if cut is not None:
+            else:
+                kind, cut = self.mark(text, end, a, b)
+                if cut < end and text[cut] == "“" and bisect.bisect_left(low, cut - start) > bisect.bisect_left(high, cut - start):
+                    cut += 1
+            if kind == ".":
+                following = _BLANK.match(text, cut, end).end()
+                if following == end:
+                    continue  # the stretch ends anyway
+                if following == cut:
+                    continue  # within a token
+                features, label = candidate_features(text, a, start, end)
+                if text[following : following + 2] == "- ":
+                    label = 0
+            elif kind:
+                features, label = mark_features(text, kind, a, cut, end)
+            if kind and ask(features, label):
                 cuts.append(cut)
                 unit = cut
         return cuts
 
     @staticmethod
-    def mark(text: str, start: int, end: int, a: int, b: int, ask) -> int | None:
-        """The end of the unit that the run of marks ``a..b`` ends, or None."""
+    def mark(text: str, end: int, a: int, b: int) -> tuple[str, int]:
+        """What kind of candidate the run of marks ``a..b`` is, and where the unit would end ('' for none)."""
         run = text[a:b]
         cut = b
         while cut < end and text[cut] in CLOSERS and text[cut] not in "“‘":
             cut += 1
-        if cut < end and text[cut] == "“" and text.count("„", start, cut) > text.count("“", start, cut):
-            cut += 1
-        rest = text[cut:end]
-        following = rest.lstrip()
-        if not following:
-            return cut
-        spaced = rest[0].isspace()
-        if set(run) <= {";", ";"}:
-            letter = next((c for c in reversed(text[max(start, a - 40) : a]) if c.isalpha()), "")
-            return cut if script(letter) == "GREEK" and spaced and word_case(following) != "lower" else None
+        if set(run) <= {";", ";"}:
+            return ";", cut
         if "…" in run or ".." in run:
-            return cut if word_case(following) == "upper" or following[0] in "\"“„«‚(（[「『¿¡《【" else None
+            return "…", cut
         if set(run) & set("。！？｡") and "." not in run:
-            return cut if following[0] not in ",，、；;:：" and word_case(following) != "lower" else None
+            return "。", cut
         if set(run) & set("।॥"):
-            return cut
+            return "।", cut
         if set(run) & set("!?؟۔"):
-            if following[0] in ",;:—–" or word_case(following) == "lower":
-                return None
-            return cut if spaced or script(following[0]) in ("CJK", "HIRAGANA", "KATAKANA") or following[0] in "\"“„«‚(（[「『¿¡《【" else None
-        if run != "." or not spaced:
-            return None
-        if following[0] in ",;:—–" or word_case(following) == "lower" or following[:2] == "- ":
-            return None
-        return cut if ask(text, a, start, end) else None
+            return "!", cut
+        return ("." if run == "." else ""), cut
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of the units of a text, without outer blanks."""
@@ -317,8 +359,7 @@ def labelled_candidates(text: str | None) -> list[tuple[str, int]]:
     """The reliable candidates of a text as (features joined by U+001F, label)."""
     rows: list[tuple[str, int]] = []
 
-    def ask(t: str, at: int, start: int, end: int) -> bool:
-        features, label = candidate_features(t, at, start, end)
+    def ask(features: list[str], label: int | None) -> bool:
         if label is not None:
             rows.append(("\x1f".join(features), label))
         return bool(label)
@@ -326,41 +367,50 @@ def labelled_candidates(text: str | None) -> list[tuple[str, int]]:
     splitter = Splitter({})
     for start, end, first in stretches(text or ""):
         splitter.boundaries(text, start, end, first, ask)
-        # full stops before lower case and at the end of a paragraph, which nobody asks about
-        for m in re.finditer(r"\.(?=\s+\S|\s*$)", text[first:end]):
-            features, label = candidate_features(text, first + m.start(), start, end)
-            if label is not None and (m.end() == end - first or label == 0):
+        # the full stop that ends a stretch, which nobody asks about
+        last = end
+        while last > first and text[last - 1].isspace():
+            last -= 1
+        if last > first and text[last - 1] == ".":
+            features, label = candidate_features(text, last - 1, start, end)
+            if label is not None:
                 rows.append(("\x1f".join(features), label))
     return rows
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-5) -> dict[str, float]:
-    """Weights by feature of a two-class maximum-entropy model (logistic regression, adaptive gradient)."""
-    rows = sorted(rows)
-    names: dict[str, int] = {}
-    lists = [np.array([names.setdefault(f, len(names)) for f in text.split("\x1f")]) for text, _ in rows]
-    if not rows:
+def fit(rows: Iterable[tuple[str, int]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-5) -> dict[str, float]:
+    """Weights by feature of a two-class maximum-entropy model (logistic regression, adaptive gradient).
+
+    ``rows``: (features, label), or how often each was met; a row met n times counts 1 + ln n times."""
+    counts = rows if isinstance(rows, Counter) else Counter(rows)
+    if not counts:
         return {}
-    x = np.stack(lists)
-    y = np.array([label for _, label in rows], dtype=float)
+    names: dict[str, int] = {}
+    pairs = sorted(counts)
+    x = np.stack([np.array([names.setdefault(f, len(names)) for f in text.split("\x1f")]) for text, _ in pairs])
+    y = np.array([label for _, label in pairs], dtype=float)
+    often = 1 + np.log([counts[p] for p in pairs])
     weights, squares = np.zeros(len(names)), np.full(len(names), 1e-6)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 64)):
             p = 1 / (1 + np.exp(-np.clip(weights[x[part]].sum(axis=1), -30, 30)))
-            gradient = np.zeros(len(names))
-            np.add.at(gradient, x[part].ravel(), np.repeat(p - y[part], x.shape[1]))
-            gradient += decay * weights
+            gradient = np.bincount(x[part].ravel(), weights=np.repeat((p - y[part]) * often[part], x.shape[1]), minlength=len(names)) + decay * weights
             squares += gradient**2
             weights -= rate * gradient / np.sqrt(squares)
     return {name: float(weights[i]) for name, i in names.items() if abs(weights[i]) > 1e-4}
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> dict[str, float]:
-    """Fit the model on at most ``TRAINING_ROWS`` reliable candidates of ``TRAINING_DOCUMENTS`` documents.
+    """Fit the model on at most ``TRAINING_ROWS`` different reliable candidates of ``TRAINING_DOCUMENTS`` documents.
 
-    The sample is that of least hash, so it is the same for the same table however it is stored."""
-    chosen = documents.select(text_column, F.xxhash64(id_column, text_column).alias("h")).where(F.length(text_column) > 0).orderBy("h").limit(TRAINING_DOCUMENTS)
+    The documents are those of least hash and the candidates the most frequent ones, so the sample is the same for the same
+    table however it is stored."""
+    h = F.xxhash64(id_column, text_column)
+    filled = documents.where(F.length(text_column) > 0)
+    # hashes first, so that no task orders whole texts
+    hashes = [r["h"] for r in filled.select(h.alias("h")).distinct().orderBy("h").limit(TRAINING_DOCUMENTS).collect()]
+    chosen = filled.where(h.isin(hashes) if hashes else F.lit(False)).dropDuplicates([id_column, text_column])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -368,15 +418,15 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["features", "label"])
 
     rows = chosen.select(text_column).repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(batches, "features string, label int")
-    sample = rows.orderBy(F.xxhash64("features", "label")).limit(TRAINING_ROWS).collect()
-    return fit([(r["features"], r["label"]) for r in sample])
+    sample = rows.groupBy("features", "label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "features", "label").limit(TRAINING_ROWS).collect()
+    return fit(Counter({(r["features"], r["label"]): r["n"] for r in sample}))
 
 
 def split_documents(documents: DataFrame, weights: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``<id>, start_pos, end_pos`` of every unit; null, empty and blank texts have none.
 
     Repeated rows are cut as often as they are given; extra columns are ignored. Only the weights (at most
-    16 features for each training row) are broadcast."""
+    18 features for each training row) are broadcast."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(weights)
     kind = dict(documents.dtypes)[id_column]

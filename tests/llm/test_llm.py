@@ -163,6 +163,24 @@ def test_boundaries_on_held_out_candidates(spark, data):
     assert right / len(held) > 0.995
 
 
+def test_texts_of_any_length_take_linear_time(splitter):
+    import time
+
+    began = time.time()
+    for text in ("(" * 60_000, "a. " * 20_000, "“a.” " * 12_000, "„a.“ " * 12_000, "- a\n" * 15_000, "เ " * 30_000, "! " * 30_000, '"a.' * 20_000, ("x" * 50 + " ") * 3_000):
+        splitter.units(text)
+    assert time.time() - began < 40
+
+
+def test_every_mark_is_asked_about_and_without_a_model_labels_decide(splitter):
+    asked = []
+    text = "One! Two? Three… Four. «Five.» Six; seven. ¿Ocho? 九。十。"
+    splitter.boundaries(text, 0, len(text), 0, lambda features, label: asked.append(features[1]) or True)
+    assert asked == ["m=!", "m=!", "m=…", "m=.", "m=close", "m=;", "m=.", "m=!", "m=。", "m=。"]
+    plain = sentences.Splitter({})
+    assert [text[a:b] for a, b in plain.units(text)] == ["One!", "Two?", "Three…", "Four.", "«Five.»", "Six; seven.", "¿Ocho?", "九。", "十。"]
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
