@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm.lookalike import skeleton, skeleton_sql
-from noteloom.session import sql_over, table, written
+from noteloom.session import join_counted, sql_over, table, written
 
 #: A word that is in so many codes of a language is a qualifier, as numbers and eponym words are; else a root.
 QUALIFIER_CODES = 10
@@ -102,20 +102,39 @@ def match_words(spark: SparkSession, listed: DataFrame, typed: DataFrame, max_ed
         """,
         typed=typed, k=max_edits,
     )
-    swaps = "transform(sequence(1, length({w}) - 1), p -> concat(substr({w}, 1, p - 1), substr({w}, p + 1, 1), substr({w}, p, 1), substr({w}, p + 2)))"
+    # candidates are few bytes and much work: they are dealt to all cores before they are verified
+    candidates = sql_over(spark, "select distinct p.language, p.word, s.listed_word from {probes} p join {segments} s using (language, n, i, segment)", probes=probes, segments=segments)
+    near = sql_over(
+        spark,
+        "select * from (select language, word, listed_word, levenshtein(word, listed_word, {k}) as letters from {c}) where letters >= 0",
+        c=candidates.repartition(4 * spark.sparkContext.defaultParallelism, "language", "word", "listed_word"), k=max_edits,
+    )
+    # a swap of neighbours that is the first or the last difference stands where the words part or meet again; only in
+    # words with room for three slips may it lie between two others, where every place is tried
+    parts = "array_position(transform(sequence(1, length({a})), p -> substr({a}, p, 1) = substr({b}, p, 1)), false)"
+    swapped = "concat(substr({w}, 1, {p} - 1), substr({w}, {p} + 1, 1), substr({w}, {p}, 1), substr({w}, {p} + 2))"
+    every = "array_min(transform(sequence(1, length(word) - 1), p -> levenshtein(" + swapped.replace("{w}", "word").replace("{p}", "p") + ", listed_word)))"
+    placed = sql_over(
+        spark,
+        f"""
+        select *, if(letters > 1, int({parts.replace("{a}", "word").replace("{b}", "listed_word")}), 0) as first,
+               if(letters > 1, int({parts.replace("{a}", "reverse(word)").replace("{b}", "reverse(listed_word)")}), 0) as last from {{n}}
+        """,
+        n=near,
+    )
     pairs = sql_over(
         spark,
         f"""
         select language, word, listed_word, letters,
                case when letters <= 1 then letters
-                    else least(letters, 1 + array_min(transform({swaps.replace("{w}", "word")}, x -> levenshtein(x, listed_word))),
-                               case when arrays_overlap({swaps.replace("{w}", "word")}, {swaps.replace("{w}", "listed_word")}) then 2 else 99 end) end as slips
-        from (select language, word, listed_word, levenshtein(word, listed_word, {{k}}) as letters
-              from (select distinct p.language, p.word, s.listed_word from {{probes}} p join {{segments}} s using (language, n, i, segment)))
-        where letters >= 0
+                    else least(letters, if(first > 0, 1 + levenshtein({swapped.replace("{w}", "word").replace("{p}", "first")}, listed_word), 99),
+                               if(last > 0 and length(word) > last, 1 + levenshtein({swapped.replace("{w}", "word").replace("{p}", "(length(word) - last)")}, listed_word), 99),
+                               if(first > 0 and last > 0 and length(listed_word) > last and {swapped.replace("{w}", "word").replace("{p}", "first")} = {swapped.replace("{w}", "listed_word").replace("{p}", "(length(listed_word) - last)")}, 2, 99),
+                               if(letters = 4 and length(word) > 8, 1 + {every}, 99)) end as slips
+        from {{p}}
         """,
-        probes=probes, segments=segments, k=max_edits,
-    )
+        p=placed,
+    )
     return sql_over(
         spark,
         f"select language, word, listed_word, int(slips) as edits from {{p}} where slips <= least({MAX_SLIPS}, int(greatest(length(word), length(listed_word)) / 4)) or (slips = 1 and word rlike '{CJK_WORD}' and listed_word rlike '{CJK_WORD}') or (slips = {MAX_SLIPS + 1} and letters > slips and length(word) > 8)",
@@ -124,8 +143,9 @@ def match_words(spark: SparkSession, listed: DataFrame, typed: DataFrame, max_ed
 
 
 def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -> DataFrame:
-    """``language, folded, code, edits`` of each distinct typed value: the code it means, or 'UNMATCHED'
-    (with null edits).
+    """``language, folded, code, edits, door, times`` of each distinct typed value: the code it means, or 'UNMATCHED'
+    (with null edits and door), and how many rows it has. ``door`` names how its words were read: 'word' as listed, 'plural',
+    'abbreviation' of a qualifier, 'edit' within the bound, joined by '+', or 'whole' by the whole name within the bound.
 
     ``typed`` needs ``language, folded``; ``designations`` ``language, code, normalized_folded``. Null or
     empty values mean nothing and are unmatched; so is a value whose root is listed for several codes that
@@ -167,8 +187,8 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     near = written(spark, sql_over(
         spark,
         """
-        select u.language, u.word, m.listed_word, min(m.edits) as edits from {u} u
-        join {m} m on m.language = u.language and (m.word = u.word or m.word = u.singular) group by u.language, u.word, m.listed_word
+        select /*+ merge(m) */ u.language, u.word, m.listed_word, min(m.edits) as edits from (select language, word, explode(array_distinct(array(word, singular))) as asked from {u}) u
+        join {m} m on m.language = u.language and m.word = u.asked group by u.language, u.word, m.listed_word
         """,
         u=unknown, m=matched,
     ))
@@ -176,17 +196,17 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     means = written(spark, sql_over(
         spark,
         """
-        select language, word, listed_word, edits, qualifier from (
+        select language, word, listed_word, edits, qualifier, door from (
           select *, rank() over (partition by language, word order by edits) as place from (
-            select w.language, w.word, k.word as listed_word, 0 as edits, k.qualifier from {w} w join {k} k using (language, word)
+            select /*+ merge(w) */ w.language, w.word, k.word as listed_word, 0 as edits, k.qualifier, 'word' as door from {w} w join {k} k using (language, word)
             union all
-            select w.language, w.word, k.word, 0, k.qualifier from (select language, word, explode(array(regexp_replace(word, 's$', ''), regexp_replace(word, 'es$', ''))) as singular from {w} where word rlike '.{3}s$') w
+            select /*+ merge(w) */ w.language, w.word, k.word, 0, k.qualifier, 'plural' from (select language, word, explode(array(regexp_replace(word, 's$', ''), regexp_replace(word, 'es$', ''))) as singular from {w} where word rlike '.{3}s$') w
               join {k} k on k.language = w.language and k.word = w.singular
             union all
-            select w.language, w.word, max(k.word), 0, true from {w} w join (select *, explode(sequence(2, length(word) - 1)) as cut from {k} where qualifier and length(word) > 3) k
+            select /*+ merge(w) */ w.language, w.word, max(k.word), 0, true, 'abbreviation' from {w} w join (select *, explode(sequence(2, length(word) - 1)) as cut from {k} where qualifier and length(word) > 3) k
               on k.language = w.language and substr(k.word, 1, k.cut) = w.word group by w.language, w.word having count(*) = 1
             union all
-            select n.language, n.word, n.listed_word, n.edits, k.qualifier from {n} n join {k} k on k.language = n.language and k.word = n.listed_word))
+            select /*+ merge(n) */ n.language, n.word, n.listed_word, n.edits, k.qualifier, 'edit' from {n} n join {k} k on k.language = n.language and k.word = n.listed_word))
         where place = 1
         """,
         w=distinct_words, k=kinds, n=near,
@@ -195,7 +215,7 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     read = written(spark, sql_over(
         spark,
         f"""
-        select w.language, w.folded, max(size(w.words)) = count(distinct w.word) as all_read, count(distinct case when not m.qualifier then w.word end) as root_words,
+        select /*+ merge(m) */ w.language, w.folded, concat_ws('+', array_sort(collect_set(m.door))) as doors, max(size(w.words)) = count(distinct w.word) as all_read, count(distinct case when not m.qualifier then w.word end) as root_words,
                collect_set(case when not m.qualifier then struct(w.word, m.listed_word, m.edits) end) as roots,
                array_sort(collect_set(case when m.qualifier and not array_contains({eponyms}, m.listed_word) then m.listed_word end)) as qualifiers
         from {{w}} w join {{m}} m using (language, word) group by w.language, w.folded""",
@@ -206,16 +226,16 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     candidates = sql_over(
         spark,
         """
-        select language, folded, code, edits, letters, unlike + root_words - rooted as differing, int(longest <= 4) as short from (
-          select r.language, r.folded, l.code, size(l.roots) as asked, max(r.root_words) as root_words, count(distinct r.root.listed_word) as roots, count(distinct r.root.word) as rooted,
+        select language, folded, code, doors, edits, letters, unlike + root_words - rooted as differing, int(longest <= 4) as short from (
+          select /*+ merge(r) */ r.language, any_value(r.doors) as doors, r.folded, l.code, size(l.roots) as asked, max(r.root_words) as root_words, count(distinct r.root.listed_word) as roots, count(distinct r.root.word) as rooted,
                  max(r.root.edits) as worst, max(length(r.root.listed_word)) as longest, max(r.all_read) as all_read, sum(r.root.edits) as edits, levenshtein(r.folded, l.name) as letters,
                  size(array_except(r.qualifiers, l.qualifiers)) + size(array_except(l.qualifiers, r.qualifiers)) as unlike
-          from (select language, folded, all_read, root_words, qualifiers, explode(roots) as root from {r}) r
+          from (select language, folded, doors, all_read, root_words, qualifiers, explode(roots) as root from {r}) r
           join (select *, explode(roots) as root from {l}) l on l.language = r.language and l.root = r.root.listed_word
           group by r.language, r.folded, r.qualifiers, l.code, l.name, l.roots, l.qualifiers)
         where roots = asked and rooted >= asked and (worst < 2 or unlike = 0) and (longest > 4 or all_read)
         union all
-        select r.language, r.folded, l.code, 0L as edits, levenshtein(r.folded, l.name) as letters, 0 as differing, 0 as short
+        select /*+ merge(r) */ r.language, r.folded, l.code, r.doors, 0L as edits, levenshtein(r.folded, l.name) as letters, 0 as differing, 0 as short
         from {r} r join {l} l on l.language = r.language and l.qualifiers = r.qualifiers
         where l.roots = array() and l.qualifiers <> array() and r.root_words = 0 and r.all_read
         """,
@@ -224,7 +244,7 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     by_word = written(spark, sql_over(
         spark,
         """
-        select language, folded, min(code) as code, int(min(edits)) as edits from (
+        select language, folded, min(code) as code, int(min(edits)) as edits, min(doors) as door from (
           select *, rank() over (partition by language, folded order by differing, short, edits, letters) as place from {c})
         where place = 1 group by language, folded having count(distinct code) = 1
         """,
@@ -233,7 +253,7 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     # all other values are compared with the whole names, blanks left out
     glued = sql_over(
         spark,
-        "select v.language, v.folded, v.squeezed as word from {v} v left anti join {c} c on c.language = v.language and c.folded = v.folded where v.squeezed <> ''",
+        "select /*+ merge(v) */ v.language, v.folded, v.squeezed as word from {v} v left anti join {c} c on c.language = v.language and c.folded = v.folded where v.squeezed <> ''",
         v=values, c=by_word,
     )
     spaced = sql_over(spark, "select language, code, squeezed as word from {n} where squeezed <> ''", n=names)
@@ -241,8 +261,8 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     by_whole = sql_over(
         spark,
         """
-        select language, folded, min(code) as code, min(edits) as edits from (
-          select g.language, g.folded, s.code, m.edits, rank() over (partition by g.language, g.folded order by m.edits) as place
+        select language, folded, min(code) as code, min(edits) as edits, 'whole' as door from (
+          select /*+ merge(g) */ g.language, g.folded, s.code, m.edits, rank() over (partition by g.language, g.folded order by m.edits) as place
           from {g} g join {m} m on m.language = g.language and m.word = g.word join {s} s on s.language = m.language and s.word = m.listed_word)
         where place = 1 group by language, folded having count(distinct code) = 1
         """,
@@ -252,16 +272,16 @@ def map_values(spark: SparkSession, typed: DataFrame, designations: DataFrame) -
     return sql_over(
         spark,
         """
-        select language, folded, code, edits from {c}
+        select /*+ merge(c) */ c.language, c.folded, c.code, c.edits, c.door, v.times from {c} c join {v} v on c.language <=> v.language and c.folded <=> v.folded
         union all
-        select v.language, v.folded, 'UNMATCHED' as code, cast(null as int) as edits from {v} v left anti join {c} c on c.language <=> v.language and c.folded <=> v.folded
+        select /*+ merge(v) */ v.language, v.folded, 'UNMATCHED' as code, cast(null as int) as edits, cast(null as string) as door, v.times from {v} v left anti join {c} c on c.language <=> v.language and c.folded <=> v.folded
         """,
         c=chosen, v=values,
     )
 
 
 def map_mentions(spark: SparkSession, mentions: DataFrame, designations: DataFrame) -> DataFrame:
-    """``mention_id, language, folded, code, edits`` of each typed mention that equals no designation of its language."""
+    """``mention_id, language, folded, code, edits, door`` of each typed mention that equals no designation of its language."""
     typed = sql_over(
         spark,
         """
@@ -271,11 +291,17 @@ def map_mentions(spark: SparkSession, mentions: DataFrame, designations: DataFra
         m=mentions, d=designations,
     )
     mapped = map_values(spark, typed, designations)
-    return sql_over(spark, "select t.mention_id, t.language, t.folded, v.code, v.edits from {t} t join {v} v on v.language <=> t.language and v.folded <=> t.folded", t=typed, v=mapped)
+    return join_counted(typed, written(spark, mapped), ["language", "folded"], "times").select("mention_id", "language", "folded", "code", "edits", "door")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_mentions(spark, table(spark, sf_dir, "mentions"), table(spark, sf_dir, "designation")).select("mention_id", "code")
 
 
-QUERIES = {"p6_found": p6_found}
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct typed values with their code and how they were read."""
+    mapped = map_mentions(spark, table(spark, sf_dir, "mentions"), table(spark, sf_dir, "designation"))
+    return mapped.groupBy("language", "folded", "code", "edits", "door").agg(F.count("*").alias("mentions"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_values": p6_values}
