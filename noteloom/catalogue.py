@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.operators import matching as M
-from noteloom.operators import mining, protected
+from noteloom.operators import combined, mining, protected
 from noteloom.operators.context import mentions_with_context
-from noteloom.session import settings, table, written
+from noteloom.session import settings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,9 +122,7 @@ def ngram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = settings(table(spark, sf_dir, "analysis_limits"))
     documents = _documents(spark, sf_dir)
-    # three aggregations start from the counted mentions: they are made and written once
-    counted = written(spark, mining.counted_mentions(documents, limits["min_ngram_tokens"], limits["max_ngram_tokens"]))
-    rows = mining.phrase_aggregates(counted, documents.count(), limits["min_document_frequency"])
+    rows = combined.aggregates(documents, limits["min_ngram_tokens"], limits["max_ngram_tokens"], limits["min_document_frequency"])
     counts = F.array_join(F.transform(F.array_sort(F.map_entries("note_type_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return rows.withColumn("note_type_counts", counts).withColumnRenamed("primary", "primary_form")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteloom.contracts import Config, ContractError, MiningLimits, canonical_json, load_json, relative_path
-from noteloom.operators import curation, export, matching, mining, protected
+from noteloom.operators import combined, curation, export, matching, mining, protected
 from noteloom.operators.verify import order_violations
 from noteloom.plans import pipeline
 from noteloom.sources import corpus, demo, terminology
@@ -180,3 +180,19 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, stream.token_counts(df).collect()))
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_phrases_combined_where_documents_are_read_equal_those_by_document(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(combined, "CHUNK_TOKENS", most)  # documents of more tokens are counted in parts
+    texts = ["pain in hip. pain  in hip! Pain in hip; pain", "sévère pain; sévère pain. pain in\thip", "", None, "Pain. pain. in hip, in hip", "болит колено. болит  колено", "1.5 mg/d pain"]
+    rows = [(i % 9 if i % 7 else None, ("en", "de", "ru")[i % 3], ("a", "b", None)[i % 4 % 3], texts[i * i % len(texts)]) for i in range(60)] + [(50, "en", "a", "pain in hip. " * 9)] * 2
+    documents = mining.corpus(spark.createDataFrame(rows, "doc_id long, lang string, note_type string, text string"))
+    listed = lambda df: sorted(map(str, (r.asDict() | {"note_type_counts": sorted(r["note_type_counts"].items())} for r in df.collect())))
+    for shortest, longest, least in ((1, 4, 1), (2, 3, 3)):
+        found = combined.aggregates(documents, shortest, longest, least)
+        assert listed(found) == listed(mining.phrase_aggregates(mining.counted_mentions(documents, shortest, longest), len(rows), least)) and found.count() > 5
+    assert combined.aggregates(documents.limit(0)).count() == 0
+    # nothing is shuffled by document and phrase: one exchange of texts, one of what was counted
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
