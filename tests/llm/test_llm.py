@@ -87,6 +87,21 @@ def test_accents_that_no_letter_takes(spark):
     assert {i for i in got if got[i]["out_of_line"] and got[i]["canonical"] != got[i]["value"]} == {1, 2, 3, 4, 5, 6, 8}
 
 
+def test_a_table_of_confusables_that_cannot_be_read_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark import SparkContext
+
+    whole, mark = lookalike.look_alikes.__wrapped__(), object()
+    assert "\u13a0" in "".join(whole.values())  # Cherokee, which the listed letters lack
+    builder = lambda skeleton: SimpleNamespace(_jvm=SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=skeleton)))))))
+    cuts = lambda: SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=lambda text: text.replace("\n", "")))
+    for context in (None, builder(mark), builder(cuts)):
+        monkeypatch.setattr(SparkContext, "_active_spark_context", context)
+        with pytest.raises(RuntimeError, match="confusables"):
+            lookalike.look_alikes.__wrapped__()
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
